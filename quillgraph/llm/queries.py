@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam
+from quillgraph.llm import decontam, simhash
 
 QUERIES = {
     "op2_decontamination": decontam.op2,
+    "op5_simhash_near_dedup": simhash.op5,
 }
 
 ORACLE_SQL = {
