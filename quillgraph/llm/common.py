@@ -56,3 +56,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a text column; null is empty."""
     return [b or b"" for b in batch.column(name).cast(pa.binary()).to_pylist()]
+
+
+def append_columns(df: DataFrame, kernel: Callable[[pa.RecordBatch], list[pa.Array]], new: list[tuple[str, str]], text: str = "text") -> tuple[DataFrame, list[str]]:
+    """All columns of ``df`` and what ``kernel`` makes of them; names in use get a ``_`` in front.
+
+    Returns the frame and the names that the new columns have.
+    """
+    taken, names = {c.lower() for c in df.columns}, []
+    for name, _ in new:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        names.append(name)
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    schema = ", ".join([*own, *(f"`{n}` {kind}" for n, (_, kind) in zip(names, new, strict=True))])
+
+    def whole(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, *kernel(b)], [*b.schema.names, *names])
+
+    return map_batches(df, whole, schema, text), names

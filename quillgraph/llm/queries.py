@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam, simhash
+from quillgraph.llm import decontam, langid, simhash
 
 QUERIES = {
     "op2_decontamination": decontam.op2,
     "op5_simhash_near_dedup": simhash.op5,
+    "op6_language_id": langid.op6,
 }
 
 ORACLE_SQL = {
