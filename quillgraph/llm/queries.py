@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontam, langid, simhash
+from quillgraph.llm import bpe, decontam, langid, simhash
 
 QUERIES = {
     "op2_decontamination": decontam.op2,
+    "op4_bpe": bpe.op4,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_language_id": langid.op6,
 }
