@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, decontam, langid, simhash
+from quillgraph.llm import bpe, decontam, langid, secrets, simhash
 
 QUERIES = {
     "op2_decontamination": decontam.op2,
     "op4_bpe": bpe.op4,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_language_id": langid.op6,
+    "op7_secret_scan": secrets.op7,
 }
 
 ORACLE_SQL = {

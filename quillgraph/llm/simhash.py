@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import map_batches, text_bytes
+from quillgraph.llm.common import append_columns, map_batches, text_bytes
 from quillgraph.operators.components import connected_components
 from quillgraph.plans.staging import cut, ship_package
 
@@ -70,6 +70,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return map_batches(rows, kernel, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp bigint")
 
 
+def with_fingerprints(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of ``docs`` with a column for their fingerprint, and its name."""
+
+    def kernel(b: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint(t) for t in text_bytes(b)], np.uint64).view(np.int64), pa.int64())]
+
+    out, (name,) = append_columns(docs, kernel, [("fp", "bigint")])
+    return out, name
+
+
 def bits(fp, at: int, n: int):
     return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1))
 
@@ -226,7 +236,8 @@ def links(reps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per row: the id, fp (signed 64-bit fingerprint) and component_id (least id that is reachable).
+    """Per row: the id, fp (signed 64-bit fingerprint), component_id (least id that is reachable)
+    and root (a fingerprint that names the class).
 
     Texts without words have fingerprint zero and are linked like any other.  Equal rows stay as many
     rows.  Rows with a null id take part; a class of null ids only has a null component_id.  An empty
@@ -237,8 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     comps = connected_components(links(reps.select("fp")), "a", "b")
     named = reps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = cut(named.join(least, "component").select("fp", "component_id"), "simhash")
-    return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    by_fp = cut(named.join(least, "component").select("fp", "component_id", F.col("component").alias("root")), "simhash")
+    return fps.join(by_fp, "fp").select(id_col, "fp", "component_id", "root")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
