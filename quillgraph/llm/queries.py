@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, decontam, langid, secrets, simhash
+from quillgraph.llm import bpe, decontam, langid, omh, secrets, simhash
 
 QUERIES = {
     "op2_decontamination": decontam.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.op5,
     "op6_language_id": langid.op6,
     "op7_secret_scan": secrets.op7,
+    "op9_order_minhash": omh.op9,
 }
 
 ORACLE_SQL = {
