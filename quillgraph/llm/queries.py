@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, decontam, langid, omh, secrets, simhash
+from quillgraph.llm import bpe, decontam, langid, omh, pii, secrets, simhash
 
 QUERIES = {
     "op2_decontamination": decontam.op2,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_language_id": langid.op6,
     "op7_secret_scan": secrets.op7,
     "op9_order_minhash": omh.op9,
+    "op10_pii_pseudonyms": pii.op10,
 }
 
 ORACLE_SQL = {
