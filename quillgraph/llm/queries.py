@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, decontam, langid, omh, pii, secrets, simhash
+from quillgraph.llm import bpe, decontam, langid, lm, omh, pii, secrets, simhash
 
 QUERIES = {
     "op2_decontamination": decontam.op2,
+    "op3_lm_scores": lm.op3,
     "op4_bpe": bpe.op4,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_language_id": langid.op6,
