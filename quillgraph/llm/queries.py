@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, decontam, langid, lm, omh, pii, secrets, simhash
+from quillgraph.llm import bpe, decontam, langid, lm, omh, pii, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op2_decontamination": decontam.op2,
     "op3_lm_scores": lm.op3,
     "op4_bpe": bpe.op4,
