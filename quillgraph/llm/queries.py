@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, decontam, langid, lm, omh, pii, secrets, simhash, toxicity
+from quillgraph.llm import bpe, decontam, html, langid, lm, omh, pii, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.op5,
     "op6_language_id": langid.op6,
     "op7_secret_scan": secrets.op7,
+    "op8_html_text": html.op8,
     "op9_order_minhash": omh.op9,
     "op10_pii_pseudonyms": pii.op10,
 }
