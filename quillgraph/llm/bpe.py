@@ -10,6 +10,8 @@ automaton doesn't accept is merged by the exact BPE rules.
 
 from __future__ import annotations
 
+import contextlib
+import glob
 import hashlib
 import heapq
 import json
@@ -251,6 +253,11 @@ def mapped(blob: bytes, where: dict, name: str) -> Lexicon:
             with open(own, "wb") as f:
                 f.write(blob)
             os.replace(own, path)
+        # the files of earlier lexicons go; who has one mapped keeps it
+        for other in glob.glob(os.path.join(glob.escape(tempfile.gettempdir()), "quillgraph-lexicon-*")):
+            if not other.startswith(path):
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(other)
         _mapped.clear()
         _mapped[name] = Lexicon(path, where)
     return _mapped[name]
