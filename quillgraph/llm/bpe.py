@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import pieces
-from quillgraph.plans.staging import ship_package
+from quillgraph.plans.staging import cut, ship_package
 
 #: Words that the automaton holds at most.
 LEXICON_WORDS = 1 << 17
@@ -285,7 +285,7 @@ def splitter(special: Iterable[str]):
 
 
 def frequent_words(docs: DataFrame, special: Iterable[str], limit: int = LEXICON_WORDS) -> list[str]:
-    """The ``limit`` most frequent pieces over all documents, ties in code point order."""
+    """The most frequent pieces over all documents: those above a count that at most ``limit`` exceed."""
     ship_package(docs.sparkSession)
     special = list(special)
 
@@ -306,8 +306,16 @@ def frequent_words(docs: DataFrame, special: Iterable[str], limit: int = LEXICON
         yield out()
 
     seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "w string, n bigint")
-    top = seen.groupBy("w").agg(F.sum("n").alias("n")).where(F.octet_length("w") <= LONGEST).orderBy(F.desc("n"), "w").limit(limit)
-    return [r["w"] for r in top.select("w").collect()]
+    counts = cut(seen.groupBy("w").agg(F.sum("n").alias("n")).where(F.octet_length("w") <= LONGEST), "bpe-words")
+    # sixteen steps an octave: a histogram of at most a thousand rows gives the least count that fits
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, held = 0, 0
+    for r in sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        held += r["count"]
+        if held > limit:
+            least = r["s"] + 1
+            break
+    return [r["w"] for r in counts.where(step >= least).select("w").collect()]
 
 
 @dataclass
