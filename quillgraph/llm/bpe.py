@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable
@@ -37,10 +38,21 @@ REMEMBERED = 400_000
 #: Longest word, in bytes, that the automaton takes.
 LONGEST = 48
 
+_NO_MERGE = 1 << 40
+
 #: How byte-level BPE splits a text, with white space by its Unicode property.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 
+#: Texts of these characters alone split alike under a simpler pattern, which is faster to match.
+PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ɏ]*")
+PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+def split_plain(text: str) -> list[str]:
+    return (PLAIN_SPLIT if PLAIN.fullmatch(text) else SPLIT).findall(text)
+
+
 def printable_bytes() -> dict[str, int]:
     """The characters that stand for bytes in the vocabulary's file: printable Latin-1 characters
     for themselves, the other bytes in turn from U+0100 on."""
@@ -80,6 +92,12 @@ class Vocabulary:
         for i, t in enumerate(self.tokens):
             if len(t) == 1:
                 self.byte_id[t[0]] = i
+        self._byte_ids = np.array(self.byte_id, np.int64)
+        ordered = sorted((k, r, m) for k, (r, m) in self.merges.items())
+        self._pairs = np.array([k for k, _, _ in ordered], np.int64)
+        self._rank = np.array([r for _, r, _ in ordered], np.int64)
+        self._made = np.zeros(1 + max((r for _, r, _ in ordered), default=0), np.int64)
+        self._made[self._rank] = [m for _, _, m in ordered]
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of least rank is merged, leftmost first, until none is left."""
@@ -103,6 +121,48 @@ class Vocabulary:
             if at < len(pairs):
                 pairs[at] = get(new << 32 | ids[at + 1])
 
+    def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
+        """As ``merge``, for many words at once: every step merges one pair in each of them."""
+        out: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order and len(words[order[-1]]) > 64:
+            i = order.pop()
+            out[i] = np.array(self.merge(words[i]), np.uint32)
+        for s in range(0, len(order), 1 << 14):
+            part = order[s : s + (1 << 14)]
+            self._merge_block([words[i] for i in part], part, out)
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        want = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self._pairs, want), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == want, self._rank[at], _NO_MERGE)
+
+    def _merge_block(self, words: list[bytes], places: list[int], out: list) -> None:
+        n = np.array([len(w) for w in words])
+        width = int(n.max(initial=0)) + 1
+        ids = self._byte_ids[np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)]
+        column = np.arange(width)
+        left = np.where(column[None, :-1] < n[:, None] - 1, self._ranks(ids[:, :-1], ids[:, 1:]), _NO_MERGE) if width > 1 and len(self._pairs) else np.full((len(words), max(width - 1, 1)), _NO_MERGE)
+        place = np.array(places)
+        while len(place):
+            at = left.argmin(axis=1)
+            best = left[np.arange(len(place)), at]
+            for r in np.flatnonzero(best == _NO_MERGE).tolist():
+                out[place[r]] = ids[r, : n[r]].astype(np.uint32)
+            live = best != _NO_MERGE
+            place, ids, left, n, at, best = place[live], ids[live], left[live], n[live] - 1, at[live], best[live]
+            if not len(place):
+                return
+            row, new = np.arange(len(place)), self._made[best]
+            ids = np.take_along_axis(ids, np.minimum(column + (column > at[:, None]), width - 1), 1)
+            ids[row, at] = new
+            shift = column[:-1] + (column[:-1] > at[:, None])
+            left = np.where(shift < width - 1, np.take_along_axis(left, np.minimum(shift, width - 2), 1), _NO_MERGE)
+            left[row, at] = np.where(at < n - 1, self._ranks(new, ids[row, at + 1]), _NO_MERGE)
+            before = at > 0
+            left[row[before], at[before] - 1] = self._ranks(ids[row[before], at[before] - 1], new[before])
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same in n log n, for words of any length."""
         n, get = len(ids), self.merges.get
@@ -270,15 +330,15 @@ def splitter(special: Iterable[str]):
     """A function from text to its pieces; special tokens are pieces of their own."""
     names = sorted(special, key=len, reverse=True)
     if not names:
-        return SPLIT.findall
+        return split_plain
     mark = regex.compile("(" + "|".join(regex.escape(s) for s in names) + ")")
 
     def split(text: str) -> list[str]:
         if not any(s in text for s in names):
-            return SPLIT.findall(text)
+            return split_plain(text)
         out = []
         for k, part in enumerate(mark.split(text)):
-            out += [part] if k % 2 else SPLIT.findall(part)
+            out += [part] if k % 2 else split_plain(part)
         return out
 
     return split
@@ -348,8 +408,10 @@ class Encoder:
                 seen.update(known)
             new = list(set().union(*parts).difference(seen))
             raw = [w.encode() for w in new]
-            for w, r, k in zip(new, raw, lexicon.ranks(raw).tolist(), strict=True):
-                seen[w] = (lexicon.output(k) if k >= 0 else np.array(vocab.merge(r), "<u4")).astype("<u4").tobytes()
+            ranks = lexicon.ranks(raw).tolist()
+            unseen = iter(vocab.merge_many([r for r, k in zip(raw, ranks, strict=True) if k < 0]))
+            for w, k in zip(new, ranks, strict=True):
+                seen[w] = (lexicon.output(k) if k >= 0 else next(unseen)).astype("<u4").tobytes()
             get = seen.__getitem__
             return [b"".join(map(get, p)) for p in parts]
 
