@@ -176,21 +176,23 @@ class Table:
         """
         on = [on] if isinstance(on, str) else list(on)
         if how == "right":
-            swapped = other.join(self, on, "left")
-            names = {c: ("right_" + c[5:] if c.startswith("left_") else "left_" + c[6:]) for c in swapped.df.columns if c.startswith(("left_", "right_")) and (c[5:] in self.columns or c[6:] in self.columns)}
-            return Table(swapped.df.withColumnsRenamed(names))
+            return Table(self._equi(other, on, "right", right_first=True))
         if how in ("semi", "anti"):
             return self._with(self.df.join(other.df, reduce(lambda a, b: a & b, [self.df[k].eqNullSafe(other.df[k]) for k in on]), f"left_{how}"))
+        return Table(self._equi(other, on, how))
+
+    def _equi(self, other: Table, on: list[str], how: str, right_first: bool = False) -> DataFrame:
         clash = {c for c in self.columns if c in other.columns} - set(on)
         left = self.df.select(*[F.col(c).alias(f"__l_{c}") for c in self.columns])
         right = other.df.select(*[F.col(c).alias(f"__r_{c}") for c in other.columns])
         cond = reduce(lambda a, b: a & b, [left[f"__l_{k}"].eqNullSafe(right[f"__r_{k}"]) for k in on])
         both = left.join(right, cond, "full" if how == "outer" else how)
-        keys = [(F.coalesce(f"__l_{k}", f"__r_{k}") if how == "outer" else F.col(f"__l_{k}")).alias(k) for k in on]
+        pick = {"outer": lambda k: F.coalesce(f"__l_{k}", f"__r_{k}"), "right": lambda k: F.col(f"__r_{k}")}
+        keys = [pick.get(how, lambda k: F.col(f"__l_{k}"))(k).alias(k) for k in on]
         name = (lambda c, side: f"{c}_right" if c in clash and side == "right" else c) if how == "outer" else (lambda c, side: f"{side}_{c}" if c in clash else c)
-        rest = [F.col(f"__l_{c}").alias(name(c, "left")) for c in self.columns if c not in on]
-        rest += [F.col(f"__r_{c}").alias(name(c, "right")) for c in other.columns if c not in on]
-        return Table(both.select(*keys, *rest))
+        mine = [F.col(f"__l_{c}").alias(name(c, "left")) for c in self.columns if c not in on]
+        theirs = [F.col(f"__r_{c}").alias(name(c, "right")) for c in other.columns if c not in on]
+        return both.select(*keys, *(theirs + mine if right_first else mine + theirs))
 
     def cross_join(self, other: Table) -> Table:
         right = other.df.select(*[F.col(c).alias(c + "_right" if c in self.columns else c) for c in other.columns])
