@@ -338,10 +338,10 @@ def _(s, d):
     return _events(s, d).rolling("value", 5, "std", "sd").df.select("event_id", r4("sd").alias("sd"))
 
 
-@query("expanding_mean", f"SELECT event_id, round(avg(value) {_USER}), 2) AS m, max(value) {_USER}) AS hi FROM events")
+@query("expanding_mean", f"SELECT event_id, round(avg(value) {_USER}), 9) AS m, max(value) {_USER}) AS hi FROM events")
 def _(s, d):
     t = _events(s, d).expanding("value", "mean", "m", ["user_id"]).cummax("value", "hi", ["user_id"])
-    return t.df.select("event_id", F.round("m", 2).alias("m"), "hi")
+    return t.df.select("event_id", F.round("m", 9).alias("m"), "hi")
 
 
 @query("cumsum_global", "SELECT event_id, round(sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS total, min(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS lo FROM events")
