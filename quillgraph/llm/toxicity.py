@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import crc_fold, map_batches, text_bytes
+from quillgraph.plans.staging import cut
 
 #: Labelled documents (about; chosen by a hash of the id) that lexicons and the classifier learn from.
 SAMPLE = 20_000
@@ -223,7 +224,7 @@ def learn_lexicons(sample: DataFrame, positive: int, negative: int) -> Features:
 
     found = map_batches(sample.select("text", "toxic"), kernel, "lexicon string, term string, clean bigint, toxic bigint").groupBy("lexicon", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = ((F.col("toxic") + 0.5) / (positive + 1)) / ((F.col("clean") + 0.5) / (negative + 1))
-    strong = found.where((F.col("toxic") >= SUPPORT) & (odds >= ODDS)).withColumn("worth", F.col("toxic") * F.log(odds))
+    strong = cut(found.where((F.col("toxic") >= SUPPORT) & (odds >= ODDS)).withColumn("worth", F.col("toxic") * F.log(odds)), "toxicity-terms")
     features = Features()
     for k in LEXICONS[1:]:
         for r in strong.where(F.col("lexicon") == k).orderBy(F.desc("worth"), "term").limit(LEXICON).collect():
