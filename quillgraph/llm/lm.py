@@ -35,7 +35,7 @@ from quillgraph.llm.common import crc_fold
 from quillgraph.plans.staging import cut, ship_package
 
 #: Tokens of a block (a longer document is a block of its own) and requests that a range receives.
-BLOCK_TOKENS, RANGE_KEYS = 300_000, 500_000
+BLOCK_TOKENS, RANGE_KEYS = 700_000, 500_000
 #: Steps an octave of counts in the histogram; rounds of expectation maximisation.
 STEPS, ROUNDS = 4, 40
 END, BEGIN = 0, 1  # local numbers of the end token and of the context before the first token
