@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.operators import local
 from quillgraph.operators.components import connected_components
 from quillgraph.operators.graph import Graph
 from quillgraph.plans.loop import iterate
@@ -23,7 +24,7 @@ from quillgraph.plans.staging import cut
 KERNEL_EDGES = 500_000
 
 
-def pagerank(g: Graph, damping: float = 0.85, rounds: int = 100, tol: float | None = 1e-6, personal: str | None = None, direction: str = "out") -> DataFrame:
+def pagerank(g: Graph, damping: float = 0.85, rounds: int = 100, tol: float | None = 1e-6, personal: str | None = None, direction: str = "out", local_edges: int | None = None) -> DataFrame:
     """(node_id, rank).  Follows stored directions; rank of sinks is spread evenly.
 
     Stops when no rank moves by more than ``tol`` (None: after all rounds).  ``personal`` names a node
@@ -39,6 +40,9 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 100, tol: float | No
         base = (F.coalesce(F.col(personal), F.lit(0)) / F.lit(total) if total else F.lit(1.0 / n)).cast("double")
     else:
         base = F.lit(1.0 / n)
+    small = local.fits(*local.rows_of(adj.toDF("source", "target"), g.nodes, base), local_edges)
+    if small is not None:
+        return local.one_task(small, local.pagerank(damping, rounds, tol), "node_id bigint, rank double")
     links = cut(adj.join(out, "node_id"), "pagerank")
     nodes = cut(g.nodes.select("node_id", base.alias("base")).join(out, "node_id", "left"), "pagerank")
     state = nodes.select("node_id", F.lit(1.0 / n).alias("rank"))
@@ -158,14 +162,20 @@ def _least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state = cut(state.join(front, "node_id", "left_anti").unionByName(front), "scc")
 
 
-def label_propagation(g: Graph, rounds: int = 20, tol: float = 0.01, seed_attr: str | None = None, self_vote: bool = True) -> DataFrame:
+def label_propagation(g: Graph, rounds: int = 20, tol: float = 0.01, seed_attr: str | None = None, self_vote: bool = True, local_edges: int | None = None) -> DataFrame:
     """(node_id, label): synchronous majority of neighbours, ties to the least label.
 
     Stops when at most ``tol`` of the nodes changed.  A node's own vote counts once, if asked for.
     """
+    first = F.coalesce(seed_attr, "node_id") if seed_attr else F.col("node_id")
+    # labels travel as doubles here, which are exact below 2**53
+    exact = g.nodes.agg(F.coalesce(F.max(F.abs(first)), F.lit(0)) < F.lit(1 << 53)).first()[0]
+    small = local.fits(*local.rows_of(g.edges, g.nodes, first), local_edges) if exact else None
+    if small is not None:
+        return local.one_task(small, local.label_propagation(rounds, tol, self_vote), "node_id bigint, label bigint")
     adj = cut(g.adjacency("both").select("node_id", "neighbor_id"), "lpa")
     n = max(g.nodes.count(), 1)
-    state = cut(g.nodes.select("node_id", (F.coalesce(seed_attr, "node_id") if seed_attr else F.col("node_id")).alias("label")), "lpa")
+    state = cut(g.nodes.select("node_id", first.alias("label")), "lpa")
 
     def step(labels: DataFrame, _: int) -> DataFrame:
         votes = adj.join(labels.withColumnRenamed("node_id", "neighbor_id"), "neighbor_id").select("node_id", "label")

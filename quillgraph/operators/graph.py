@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.predicate import parse
+from quillgraph.operators import local
 from quillgraph.operators.components import connected_components
 from quillgraph.plans.ordering import with_position
 from quillgraph.plans.staging import cut
@@ -187,8 +188,14 @@ class Graph:
         adj = self.neighbors(keep, "both")
         return adj.join(keep.withColumnRenamed("node_id", "neighbor_id"), "neighbor_id", "left_anti").select("node_id").distinct()
 
-    def components(self) -> DataFrame:
-        """(node_id, component): weak components, named by their least node; lone nodes are their own."""
+    def components(self, local_edges: int | None = None) -> DataFrame:
+        """(node_id, component): weak components, named by their least node; lone nodes are their own.
+
+        Graphs of up to ``local_edges`` (see ``local``; 0: never) are done in one task.
+        """
+        small = local.fits(*local.rows_of(self.edges, self.nodes), local_edges)
+        if small is not None:
+            return local.one_task(small, local.components, "node_id bigint, component bigint")
         found = connected_components(self.edges)
         out = self.nodes.select("node_id").join(found.withColumnRenamed("node", "node_id"), "node_id", "left")
         return out.withColumn("component", F.coalesce("component", "node_id"))

@@ -152,7 +152,7 @@ def test_components_match_union_find(spark, pairs):
 
 
 def test_long_chain_is_one_component(spark):
-    assert G.path(spark, 300).components().select("component").distinct().count() == 1
+    assert G.path(spark, 300).components(0).select("component").distinct().count() == 1
 
 
 def test_algorithms_on_known_graphs(spark):
@@ -173,6 +173,16 @@ def test_algorithms_on_known_graphs(spark):
     assert abs(A.pagerank(ring).agg(F.sum("rank")).first()[0] - 1) < 1e-6
 
 
+def test_one_task_and_supersteps_agree(spark):
+    g = G.random_edges(spark, 60, 90, 4)
+    g = Graph(g.nodes.union(spark.createDataFrame([(1000,)], "node_id long")), g.edges, True)
+    for f, c in ((lambda n: g.components(n), "component"), (lambda n: A.pagerank(g, local_edges=n), "rank"), (lambda n: A.label_propagation(g, 5, -1.0, local_edges=n), "label"), (lambda n: A.infomap_majority(g, 3) if n is None else A.label_propagation(g, 3, 0.0, self_vote=False, local_edges=0), "label")):
+        one, many = dict(rows(f(None), "node_id", c)), dict(rows(f(0), "node_id", c))
+        assert one == pytest.approx(many, abs=1e-9)
+    empty = Graph(g.nodes.limit(0), g.edges.limit(0))
+    assert empty.components().count() == A.pagerank(empty).count() == A.label_propagation(empty).count() == 0
+
+
 def test_generators(spark):
     assert G.watts_strogatz(spark, 20, 4, 0.2, 1).edges.count() == 40
     assert G.barabasi_albert(spark, 30, 2, 1).edges.count() == 56
@@ -226,6 +236,29 @@ def test_matrix_against_numpy(spark):
     assert np.allclose(sq.power(3).to_numpy(), np.linalg.matrix_power(sq.to_numpy(), 3))
 
 
+def test_embeddings(spark):
+    from quillgraph.operators import embedding as E
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 3)) * [5, 1, 0.1]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node_id long, vector array<double>")
+    got = np.array([r["vector"] for r in E.pca(df, "vector", 2).orderBy("node_id").collect()])
+    _, vec = np.linalg.eigh(np.cov(x.T, bias=True))
+    want = (x - x.mean(0)) @ vec[:, ::-1][:, :2]
+    assert np.allclose(np.abs(got), np.abs(want))
+    g = G.path(spark, 10)
+    line = [r["vector"][0] for r in E.spectral(g, 1).orderBy("node_id").collect()]
+    assert line == sorted(line) or line == sorted(line, reverse=True)
+    sizes = [sum(v * v for v in r["vector"]) for r in E.random_embedding(g.nodes, 4, "spherical").collect()]
+    assert sizes == pytest.approx([1.0] * 10)
+    assert E.circular(g.nodes).agg(F.sum("x")).first()[0] == pytest.approx(0)
+    hexes = E.honeycomb(E.grid(g.nodes, 3))
+    assert hexes.count() == 10 and hexes.join(E.grid(g.nodes, 3).toDF("node_id", "a", "b"), "node_id").where("abs(x - a) > 1 OR abs(y - b) > 1").isEmpty()
+    a, b = E.random_embedding(g.nodes), E.random_embedding(g.nodes, seed=2)
+    assert E.interpolate(a, b, 4).count() == 50
+    assert E.edge_stress(g, E.force_directed(g)).first()["mean_length"] > 0
+
+
 # --- history ---
 
 
