@@ -178,7 +178,7 @@ def _(s, d):
     return g.filter_nodes("nation < 15").intersect(g.filter_nodes("nation > 8")).nodes.select("node_id")
 
 
-@query("validate", "SELECT * FROM (VALUES ('null node id', 0), ('repeated node id', 0), ('null edge field', 0), ('repeated edge id', 0), ('dangling source', 0), ('dangling target', 0), ('self loop', 0), ('parallel edge', 0)) v(problem, n)")
+@query("validate", "SELECT problem, CAST(n AS BIGINT) AS n FROM (VALUES ('null node id', 0), ('repeated node id', 0), ('null edge field', 0), ('repeated edge id', 0), ('dangling source', 0), ('dangling target', 0), ('self loop', 0), ('parallel edge', 0)) v(problem, n)")
 def _(s, d):
     return trade(s, d).validate()
 
@@ -188,14 +188,14 @@ def _(s, d):
     return merge(flow(s, d), flow(s, d)).edges.select("source", "target")
 
 
-@query("collapse", f"WITH {_TRADE}, p AS (SELECT node_id, nation FROM tn) SELECT least(x.nation, y.nation) AS source, greatest(x.nation, y.nation) AS target, count(*) AS edge_count, round(sum(w), 2) AS w FROM te JOIN p x ON source = x.node_id JOIN p y ON target = y.node_id WHERE x.nation <> y.nation GROUP BY 1, 2 HAVING count(*) >= 2")
+@query("collapse", f"WITH {_TRADE}, p AS (SELECT node_id, nation FROM tn) SELECT CAST(least(x.nation, y.nation) AS BIGINT) AS source, CAST(greatest(x.nation, y.nation) AS BIGINT) AS target, count(*) AS edge_count, round(sum(w), 2) AS w FROM te JOIN p x ON source = x.node_id JOIN p y ON target = y.node_id WHERE x.nation <> y.nation GROUP BY 1, 2 HAVING count(*) >= 2")
 def _(s, d):
     g = trade(s, d)
     meta, _members = g.collapse(g.nodes.select("node_id", "nation"), {"balance": F.avg("balance")}, {"w": F.sum("w")}, 2)
     return meta.edges.select("source", "target", "edge_count", F.round("w", 2).alias("w"))
 
 
-@query("meta_nodes", f"WITH {_TRADE} SELECT nation AS node_id, count(*) AS members, round(avg(balance), 4) AS balance FROM tn GROUP BY 1")
+@query("meta_nodes", f"WITH {_TRADE} SELECT CAST(nation AS BIGINT) AS node_id, count(*) AS members, round(avg(balance), 4) AS balance FROM tn GROUP BY 1")
 def _(s, d):
     g = trade(s, d)
     meta, _members = g.collapse(g.nodes.select("node_id", "nation"), {"balance": F.avg("balance")})
@@ -472,7 +472,7 @@ def _(s, d):
     return B.degree_centrality()(flow(s, d)).withColumn("centrality", F.round("centrality", 8))
 
 
-@query("dsl_normalize_clip", f"WITH {_FLOW}, k AS (SELECT node_id, (SELECT count(*) FROM fe WHERE fn.node_id IN (source, target)) AS k FROM fn) SELECT node_id, round((k - avg(k) OVER ()) / stddev_pop(k) OVER (), 6) AS z, least(greatest(k, 2.0), 5.0) AS c, CASE WHEN k > 4 THEN 1.0 ELSE 0.0 END AS high FROM k")
+@query("dsl_normalize_clip", f"WITH {_FLOW}, k AS (SELECT node_id, (SELECT count(*) FROM fe WHERE fn.node_id IN (source, target)) AS k FROM fn) SELECT node_id, round((k - avg(k) OVER ()) / stddev_pop(k) OVER (), 6) AS z, CAST(least(greatest(k, 2.0), 5.0) AS DOUBLE) AS c, CAST(CASE WHEN k > 4 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS high FROM k")
 def _(s, d):
     b = B.AlgorithmBuilder()
     k = b.degrees()

@@ -72,7 +72,7 @@ def _(s, d):
     return read(s, d, "orders").ordered("o_orderdate", "o_orderkey").tail(20).df.select("o_orderkey", "o_totalprice")
 
 
-@query("take_rows", "SELECT ask.o AS ord, n.n_name FROM (VALUES (0, 4), (1, 2), (2, 4)) ask(o, p) JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation) n USING (p)")
+@query("take_rows", "SELECT CAST(ask.o AS BIGINT) AS ord, n.n_name FROM (VALUES (0, 4), (1, 2), (2, 4)) ask(o, p) JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation) n USING (p)")
 def _(s, d):
     return read(s, d, "nation").ordered("n_nationkey").take_rows([4, 2, 4]).df.select("ord", "n_name")
 
