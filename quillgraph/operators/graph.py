@@ -205,6 +205,62 @@ class Graph:
         top = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
         return self.induced(comp.join(top, "component", "left_semi").select("node_id"))
 
+    def is_connected(self) -> bool:
+        return self.components().select("component").distinct().limit(2).count() <= 1
+
+    def has_edge(self, a, b) -> bool:
+        """Whether an edge joins two nodes (from a to b, if directed)."""
+        hit = (F.col("source") == a) & (F.col("target") == b)
+        return not self.edges.where(hit if self.directed else hit | ((F.col("source") == b) & (F.col("target") == a))).isEmpty()
+
+    def contains(self, ids: DataFrame) -> DataFrame:
+        """(node_id, found) for each id asked for."""
+        own = self.nodes.select("node_id", F.lit(True).alias("found"))
+        return ids.toDF("node_id").join(own, "node_id", "left").na.fill(False, ["found"])
+
+    def incident_edges(self, ids: DataFrame, direction: str = "both") -> DataFrame:
+        """Edges at the given nodes: those out of them, into them, or both."""
+        keep = ids.toDF("__n").distinct()
+        ends = {"out": ["source"], "in": ["target"], "both": ["source", "target"]}[direction]
+        found = [self.edges.join(keep, self.edges[e] == keep["__n"], "left_semi") for e in ends]
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1]).dropDuplicates(["edge_id"])
+
+    def adjacency_list(self, direction: str = "auto") -> DataFrame:
+        """(node_id, neighbors) with ascending ids; long lists of hubs are one row, as asked for."""
+        near = self.neighbors(direction=direction).groupBy("node_id").agg(F.array_sort(F.collect_list("neighbor_id")).alias("neighbors"))
+        return self.nodes.select("node_id").join(near, "node_id", "left").withColumn("neighbors", F.coalesce("neighbors", F.array().cast(near.schema["neighbors"].dataType)))
+
+    def sample(self, k: int, seed: int = 0) -> Graph:
+        """k nodes drawn by a seeded hash, and the edges among them."""
+        return self.induced(self.nodes.select("node_id").orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id").limit(k))
+
+    def group_by_node_attr(self, attr: str) -> tuple[DataFrame, DataFrame]:
+        """Subgraphs by a node attribute: nodes and edges with a ``part`` column; edges have both ends in it."""
+        parts = self.nodes.select("node_id", F.col(attr).alias("part"))
+        e = self.edges.join(parts.toDF("source", "part"), "source").join(parts.toDF("target", "__q"), "target")
+        return self.nodes.withColumn("part", F.col(attr)), e.where(F.col("part").eqNullSafe(F.col("__q"))).drop("__q")
+
+    def group_by_edge_attr(self, attr: str) -> tuple[DataFrame, DataFrame]:
+        """Subgraphs by an edge attribute: the endpoints of each value's edges, and these edges."""
+        e = self.edges.withColumn("part", F.col(attr))
+        ends = e.select("part", F.explode(F.array("source", "target")).alias("node_id")).distinct()
+        return ends.join(self.nodes, "node_id"), e
+
+    def expand(self, members: DataFrame, meta_id) -> Graph:
+        """The subgraph that a meta-node of ``collapse`` stands for."""
+        return self.induced(members.where(F.col("meta_id") == meta_id).select("node_id"))
+
+    def transition(self) -> DataFrame:
+        """(source, target, p): the chance of each step of a walk along edges."""
+        adj = self.neighbors()
+        d = adj.groupBy("node_id").agg(F.count(F.lit(1)).alias("d"))
+        return adj.join(d, "node_id").select(F.col("node_id").alias("source"), F.col("neighbor_id").alias("target"), (1.0 / F.col("d")).alias("p"))
+
+    def overlaps(self, others: dict[str, Graph]) -> DataFrame:
+        """(name, nodes): how many nodes each of the others shares, where it shares any."""
+        named = [g.nodes.select("node_id", F.lit(n).alias("name")) for n, g in others.items()]
+        return reduce(DataFrame.unionByName, named).join(self.nodes.select("node_id"), "node_id", "left_semi").groupBy("name").agg(F.count_distinct("node_id").alias("nodes"))
+
     def partition(self, parts: DataFrame) -> DataFrame:
         """Per part of (node_id, part): nodes, edges inside, density."""
         e = self.edges.join(parts.toDF("source", "p"), "source").join(parts.toDF("target", "q"), "target").where(F.col("p").eqNullSafe(F.col("q")))

@@ -485,3 +485,56 @@ def _(s, d):
 @query("dsl_label_propagation")
 def _(s, d):
     return B.dsl_label_propagation(5)(flow(s, d, False))
+
+
+# --- steps and further subgraph queries ---
+
+
+@query("step_pipeline", f"WITH {_FLOW}, k AS (SELECT node_id, (SELECT count(*) FROM fe WHERE source = node_id) AS d FROM fn) SELECT node_id, CAST((SELECT coalesce(sum(d), 0) FROM fe JOIN k x ON x.node_id = fe.source WHERE fe.target = k.node_id) AS BIGINT) AS s, round(d / (SELECT sum(d) FROM k), 8) AS share FROM k")
+def _(s, d):
+    from quillgraph.operators import steps
+
+    done = steps.run(flow(s, d), [{"id": "core.node_degree", "params": {"target": "d"}}, {"id": "core.neighbor_agg", "params": {"source": "d", "how": "sum", "target": "s"}}, {"id": "core.normalize_values", "params": {"source": "d", "target": "share"}}])
+    return done.nodes.select("node_id", "s", F.round("share", 8).alias("share"))
+
+
+@query("transition_matrix", f"WITH {_FLOW}, k AS (SELECT source AS x, count(*) AS k FROM fe GROUP BY 1) SELECT source, target, round(1.0::DOUBLE / k, 8) AS p FROM fe JOIN k ON x = source")
+def _(s, d):
+    return flow(s, d).transition().withColumn("p", F.round("p", 8))
+
+
+@query("adjacency_list", f"WITH {_FLOW} SELECT node_id, coalesce((SELECT string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) FROM fadj WHERE a = node_id), '') AS neighbors FROM fn")
+def _(s, d):
+    return flow(s, d, False).adjacency_list().select("node_id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
+
+
+@query("group_by_node_attr", f"WITH {_FLOW} SELECT x.region AS part, count(*) AS edges FROM fe JOIN fn x ON source = x.node_id JOIN fn y ON target = y.node_id WHERE x.region = y.region GROUP BY 1")
+def _(s, d):
+    _, e = flow(s, d).group_by_node_attr("region")
+    return e.groupBy("part").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query("incident_edges", f"WITH {_FLOW} SELECT source, target FROM fe WHERE source IN (SELECT node_id FROM fn WHERE region = 2) OR target IN (SELECT node_id FROM fn WHERE region = 2)")
+def _(s, d):
+    g = flow(s, d)
+    return g.incident_edges(g.nodes.where("region = 2").select("node_id")).select("source", "target")
+
+
+@query("overlaps", f"WITH {_TRADE} SELECT name, count(*) AS nodes FROM tn JOIN (VALUES ('low', 0, 9), ('high', 20, 24)) v(name, a, b) ON nation BETWEEN a AND b WHERE balance > 3000 GROUP BY 1")
+def _(s, d):
+    g = trade(s, d)
+    return g.filter_nodes("balance > 3000").overlaps({"low": g.filter_nodes("nation BETWEEN 0 AND 9"), "high": g.filter_nodes("nation BETWEEN 20 AND 24")})
+
+
+@query("grid_layout", "SELECT CAST(n_nationkey AS BIGINT) AS node_id, CAST(n_nationkey % 5 AS DOUBLE) AS x, CAST(n_nationkey // 5 AS DOUBLE) AS y FROM nation")
+def _(s, d):
+    from quillgraph.operators import embedding
+
+    return embedding.grid(flow(s, d).nodes, 5)
+
+
+@query("pca_embedding")
+def _(s, d):
+    from quillgraph.operators import embedding
+
+    return embedding.pca(read(s, d, "embeddings"), "embedding", 2, "vec_id").select("vec_id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))

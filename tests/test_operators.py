@@ -210,6 +210,64 @@ def test_builder_loop_until(spark):
     assert set(B.REGISTRY) >= {"dsl_pagerank", "degree_centrality"}
 
 
+def test_graph_queries(spark):
+    g = Graph(G.path(spark, 6).nodes.withColumn("half", F.col("node_id") < 3), G.path(spark, 6).edges.withColumn("odd", F.col("source") % 2))
+    assert g.is_connected() and g.has_edge(2, 1) and not g.has_edge(0, 5)
+    one = spark.createDataFrame([(2,), (77,)], "x long")
+    assert rows(g.contains(one), "node_id", "found") == [(2, True), (77, False)]
+    assert g.incident_edges(one).count() == 2 and g.incident_edges(one, "out").count() == 1
+    assert rows(g.adjacency_list(), "node_id", "neighbors")[1] == (1, [0, 2])
+    assert g.sample(3, 1).nodes.count() == 3
+    _, inside = g.group_by_node_attr("half")
+    assert inside.count() == 4
+    ends, _ = g.group_by_edge_attr("odd")
+    assert ends.where("part = 1").count() == 4
+    _, members = g.collapse(g.nodes.select("node_id", F.col("half").cast("long")))
+    assert g.expand(members, 1).edges.count() == 2
+    assert dict(rows(g.transition().groupBy("source").agg(F.sum("p").alias("p")), "source", "p"))[2] == 1.0
+    assert rows(g.overlaps({"a": g.sample(2), "b": g.induced(one.where("x > 50"))}), "name", "nodes") == [("a", 2)]
+
+
+def test_step_pipelines(spark):
+    from quillgraph.operators import steps as S
+
+    g = Graph(G.complete(spark, 4).nodes, G.complete(spark, 4).edges.withColumn("w", F.lit(2.0)))
+    p = [
+        {"id": "core.node_degree", "params": {"target": "d"}},
+        {"id": "core.graph_node_count", "params": {"target": "n"}},
+        {"id": "core.div", "params": {"left": "d", "right": "n", "target": "share"}},
+        {"id": "core.neighbor_agg", "params": {"source": "d", "how": "sum", "target": "s"}},
+        {"id": "core.compare", "params": {"left": "s", "op": "gt", "right": 8, "target": "many"}},
+        {"id": "core.where", "params": {"mask": "many", "then": "s", "otherwise": 0, "target": "s2"}},
+        {"id": "core.init_nodes", "params": {"target": "x", "value": 1.0}},
+        {"id": "iter.loop", "params": {"rounds": 4, "body": [{"id": "core.mul", "params": {"left": "x", "right": 2, "target": "x"}}]}},
+        {"id": "core.normalize_values", "params": {"source": "x", "target": "even"}},
+        {"id": "core.triangle_count", "params": {"target": "t"}},
+        {"id": "core.collect_neighbor_values", "params": {"source": "d", "target": "list"}},
+        {"id": "core.mode_list", "params": {"source": "list", "target": "mode"}},
+        {"id": "core.random_walk", "params": {"length": 3, "target": "walk"}},
+        {"id": "core.top_k", "params": {"source": "x", "k": 2, "target": "top"}},
+        {"id": "core.sample_nodes", "params": {"k": 2, "target": "drawn"}},
+        {"id": "core.shortest_path_map", "params": {"source": "drawn", "target": "dist"}},
+        {"id": "core.modularity_gain", "params": {"source": "drawn", "target": "gain"}},
+        {"id": "core.weighted_degree", "params": {"weight": "w", "target": "wd"}},
+        {"id": "core.load_edge_attr", "params": {"attr": "w", "target": "cap"}},
+        {"id": "core.init_edges", "params": {"target": "flow", "value": 0.5}},
+        {"id": "core.residual_capacity", "params": {"capacity": "cap", "flow": "flow", "target": "rest"}},
+        {"id": "core.reduce_scalar", "params": {"source": "x", "how": "sum", "target": "total"}},
+        {"id": "core.attach_node_attr", "params": {"source": "t", "attr": "triangles"}},
+    ]
+    assert S.validate(p) == []
+    s = S.run(g, p)
+    for r in s.nodes.collect():
+        assert (r["share"], r["s"], r["s2"], r["x"], r["even"], r["t"], r["mode"], r["wd"]) == (0.75, 9, 9, 16.0, 0.25, 3, 3, 6.0)
+        assert len(r["walk"]) == 4 and r["dist"] == (0.0 if r["drawn"] else 1.0)
+    assert s.scalars["total"] == 64.0 and {r["rest"] for r in s.edges.collect()} == {1.5}
+    assert s.graph.nodes.where("triangles = 3").count() == 4
+    assert len(S.validate([{"id": "no.such"}, {"id": "core.abs", "params": {"source": "zz"}}])) == 3
+    assert len(S.STEPS) >= 55
+
+
 # --- matrices ---
 
 
