@@ -121,13 +121,16 @@ class Vocabulary:
             if at < len(pairs):
                 pairs[at] = get(new << 32 | ids[at + 1])
 
-    def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
-        """As ``merge``, for many words at once: every step merges one pair in each of them."""
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """As ``merge``, for many words at once: every step merges one pair in each of them.
+
+        The ids of a word are little-endian uint32 bytes.
+        """
         out: list = [None] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         while order and len(words[order[-1]]) > 64:
             i = order.pop()
-            out[i] = np.array(self.merge(words[i]), np.uint32)
+            out[i] = np.array(self.merge(words[i]), "<u4").tobytes()
         for s in range(0, len(order), 1 << 14):
             part = order[s : s + (1 << 14)]
             self._merge_block([words[i] for i in part], part, out)
@@ -148,9 +151,12 @@ class Vocabulary:
         while len(place):
             at = left.argmin(axis=1)
             best = left[np.arange(len(place)), at]
-            for r in np.flatnonzero(best == _NO_MERGE).tolist():
-                out[place[r]] = ids[r, : n[r]].astype(np.uint32)
             live = best != _NO_MERGE
+            done = ~live
+            flat = ids[done][column < n[done, None]].astype("<u4").tobytes()
+            ends = np.cumsum(n[done] * 4)
+            for p, a, b in zip(place[done].tolist(), (ends - n[done] * 4).tolist(), ends.tolist(), strict=True):
+                out[p] = flat[a:b]
             place, ids, left, n, at, best = place[live], ids[live], left[live], n[live] - 1, at[live], best[live]
             if not len(place):
                 return
@@ -249,7 +255,7 @@ def compile_lexicon(words: list[bytes], outputs: list[list[int]]) -> dict[str, n
         "final": np.array([f for f, _ in arcs], np.uint8),
         "root": np.array([root], np.int64),
         "off": np.cumsum([0, *(len(o) for _, o in pairs)]).astype(np.int64),
-        "ids": np.array([i for _, o in pairs for i in o], np.uint32),
+        "ids": np.array([i for _, o in pairs for i in o], "<u4"),
     }
 
 
@@ -267,7 +273,7 @@ class Lexicon:
     """The automaton over a memory-mapped file."""
 
     def __init__(self, path: str, where: dict[str, tuple[int, str, int]]):
-        raw = np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.empty(0, np.uint8)
+        raw = np.asarray(np.memmap(path, np.uint8, "r")) if os.path.getsize(path) else np.empty(0, np.uint8)
         for name, (at, kind, n) in where.items():
             setattr(self, name, raw[at : at + n * np.dtype(kind).itemsize].view(kind))
 
@@ -297,8 +303,10 @@ class Lexicon:
                 break
         return out
 
-    def output(self, rank: int) -> np.ndarray:
-        return self.ids[self.off[rank] : self.off[rank + 1]]
+    def outputs(self, ranks: np.ndarray) -> list[bytes]:
+        """The ids of accepted words, as little-endian uint32 bytes each."""
+        ids = memoryview(self.ids.view(np.uint8))
+        return [ids[a:b].tobytes() for a, b in zip((self.off[ranks] * 4).tolist(), (self.off[ranks + 1] * 4).tolist(), strict=True)]
 
 
 _mapped: dict[str, Lexicon] = {}
@@ -408,10 +416,10 @@ class Encoder:
                 seen.update(known)
             new = list(set().union(*parts).difference(seen))
             raw = [w.encode() for w in new]
-            ranks = lexicon.ranks(raw).tolist()
-            unseen = iter(vocab.merge_many([r for r, k in zip(raw, ranks, strict=True) if k < 0]))
-            for w, k in zip(new, ranks, strict=True):
-                seen[w] = (lexicon.output(k) if k >= 0 else next(unseen)).astype("<u4").tobytes()
+            ranks = lexicon.ranks(raw)
+            hit, miss = np.flatnonzero(ranks >= 0), np.flatnonzero(ranks < 0).tolist()
+            seen.update(zip([new[i] for i in hit.tolist()], lexicon.outputs(ranks[hit]), strict=True))
+            seen.update(zip([new[i] for i in miss], vocab.merge_many([raw[i] for i in miss]), strict=True))
             get = seen.__getitem__
             return [b"".join(map(get, p)) for p in parts]
 

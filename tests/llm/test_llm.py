@@ -287,7 +287,7 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
     lex = bpe.Lexicon(str(tmp_path / "f"), where)
     assert lex.ranks(words).tolist() == list(range(len(words)))
     assert lex.ranks([b"", b"ta", b"tapss", b"x", b"h" * 100]).tolist() == [-1] * 5
-    assert [lex.output(k).tolist() for k in range(len(words))] == [[i, 7] for i in range(len(words))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in lex.outputs(np.arange(len(words)))] == [[i, 7] for i in range(len(words))]
     plain_trie = len({w[:i] for w in words for i in range(len(w) + 1)})
     assert len(arrays["final"]) < plain_trie
     empty = bpe.compile_lexicon([], [])
