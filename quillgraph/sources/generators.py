@@ -91,3 +91,42 @@ def communities(spark: SparkSession, sizes: list[int], inside: float, between: f
     e = _pairs(spark, n).where(draw < F.when(group(F.col("source")) == group(F.col("target")), inside).otherwise(between))
     g = _graph(spark, n, e)
     return Graph(g.nodes.withColumn("community", group(F.col("node_id"))), g.edges)
+
+
+# The friendships of Zachary's karate club (1977), each line a member and those of higher number.
+KARATE = """
+0: 1 2 3 4 5 6 7 8 10 11 12 13 17 19 21 31
+1: 2 3 7 13 17 19 21 30
+2: 3 7 8 9 13 27 28 32
+3: 7 12 13
+4: 6 10
+5: 6 10 16
+6: 16
+8: 30 32 33
+9: 33
+13: 33
+14: 32 33
+15: 32 33
+18: 32 33
+19: 33
+20: 32 33
+22: 32 33
+23: 25 27 29 32 33
+24: 25 27 31
+25: 31
+26: 29 33
+27: 33
+28: 31 33
+29: 32 33
+30: 32 33
+31: 32 33
+32: 33
+"""
+
+
+def karate_club(spark: SparkSession) -> Graph:
+    """34 members and 78 friendships; the instructor and the president are members 0 and 33."""
+    pairs = [(int(a), int(b)) for line in KARATE.strip().splitlines() for a, rest in [line.split(":")] for b in rest.split()]
+    g = _graph(spark, 34, spark.createDataFrame(pairs, "source long, target long"))
+    leads = F.col("node_id").isin(0, 33)
+    return Graph(g.nodes.withColumns({"label": F.concat(F.lit("Member"), F.col("node_id")), "instructor": leads}), g.edges)

@@ -187,6 +187,9 @@ def test_generators(spark):
     assert G.watts_strogatz(spark, 20, 4, 0.2, 1).edges.count() == 40
     assert G.barabasi_albert(spark, 30, 2, 1).edges.count() == 56
     assert G.erdos_renyi(spark, 40, 0.2, 3).edges.count() == G.erdos_renyi(spark, 40, 0.2, 3).edges.count()
+    karate = G.karate_club(spark)
+    assert karate.edges.count() == 78 and dict(rows(karate.degree(), "node_id", "degree"))[33] == 17
+    assert karate.transitivity().first()[0] == pytest.approx(0.2556818, abs=1e-6)
     assert G.random_edges(spark, 50, 200, 2).edges.where("source = target").count() == 0
 
 
@@ -317,6 +320,27 @@ def test_embeddings(spark):
     assert E.edge_stress(g, E.force_directed(g)).first()["mean_length"] > 0
 
 
+def test_gradients_match_differences():
+    from quillgraph.operators.autodiff import Tensor
+
+    rng = np.random.default_rng(3)
+    x, w, b, k = (rng.normal(size=s) for s in ((4, 3), (3, 5), (1, 5), (2, 2)))
+
+    def loss(x, w, b, k):
+        h = (Tensor.of(x) @ w + b).tanh()
+        return (h.conv2d(Tensor.of(k)).sigmoid() * 2.0 - 0.3).relu().mean() + (h * h + 1.0).log().sum() - h.exp().mean()
+
+    args = [Tensor(v) for v in (x, w, b, k)]
+    loss(*args).backward()
+    for i, a in enumerate(args):
+        for at in [(0, 0), tuple(n - 1 for n in a.value.shape)]:
+            moved = [v.copy() for v in (x, w, b, k)]
+            moved[i][at] += 1e-6
+            up = float(loss(*moved).value)
+            moved[i][at] -= 2e-6
+            assert a.grad[at] == pytest.approx((up - float(loss(*moved).value)) / 2e-6, abs=1e-5)
+
+
 # --- history ---
 
 
