@@ -40,7 +40,7 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 100, tol: float | No
         base = (F.coalesce(F.col(personal), F.lit(0)) / F.lit(total) if total else F.lit(1.0 / n)).cast("double")
     else:
         base = F.lit(1.0 / n)
-    small = local.fits(*local.rows_of(adj.toDF("source", "target"), g.nodes, base), local_edges)
+    small = local.small(adj.toDF("source", "target"), g.nodes, local_edges, base)
     if small is not None:
         return local.one_task(small, local.pagerank(damping, rounds, tol), "node_id bigint, rank double")
     links = cut(adj.join(out, "node_id"), "pagerank")
@@ -169,8 +169,8 @@ def label_propagation(g: Graph, rounds: int = 20, tol: float = 0.01, seed_attr:
     """
     first = F.coalesce(seed_attr, "node_id") if seed_attr else F.col("node_id")
     # labels travel as doubles here, which are exact below 2**53
-    exact = g.nodes.agg(F.coalesce(F.max(F.abs(first)), F.lit(0)) < F.lit(1 << 53)).first()[0]
-    small = local.fits(*local.rows_of(g.edges, g.nodes, first), local_edges) if exact else None
+    exact = not seed_attr and local_edges != 0 and g.nodes.agg(F.coalesce(F.max(F.abs("node_id")), F.lit(0)) < F.lit(1 << 53)).first()[0]
+    small = local.small(g.edges, g.nodes, local_edges, first) if exact else None
     if small is not None:
         return local.one_task(small, local.label_propagation(rounds, tol, self_vote), "node_id bigint, label bigint")
     adj = cut(g.adjacency("both").select("node_id", "neighbor_id"), "lpa")
@@ -223,10 +223,6 @@ def modularity(g: Graph, parts: DataFrame, weight: str | None = None, resolution
     return x.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("modularity"))
 
 
-def _distances(g: Graph, direction: str) -> DataFrame:
-    return g.k_hop(g.nodes.select("node_id"), 1 << 20, direction)
-
-
 def all_distances(g: Graph, sources: DataFrame, direction: str = "auto") -> DataFrame:
     """(seed, node_id, hop, paths): steps and number of shortest paths from every source.
 

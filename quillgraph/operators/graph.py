@@ -193,7 +193,7 @@ class Graph:
 
         Graphs of up to ``local_edges`` (see ``local``; 0: never) are done in one task.
         """
-        small = local.fits(*local.rows_of(self.edges, self.nodes), local_edges)
+        small = local.small(self.edges, self.nodes, local_edges)
         if small is not None:
             return local.one_task(small, local.components, "node_id bigint, component bigint")
         found = connected_components(self.edges)

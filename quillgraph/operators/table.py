@@ -245,9 +245,9 @@ class Table:
 
     def outliers(self, name: str, factor: float = 1.5) -> Table:
         """Rows with ``is_outlier``; quartiles are the values at floor(q * n) of the sorted column."""
-        n, q1, q3 = self.df.agg(F.count(name), F.lit(0), F.lit(0)).first()
-        q1, q3 = (self.nth(name, int(q * n)) if n else None for q in (0.25, 0.75))
-        low, high = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)) if n else (0.0, 0.0)
+        n = self.df.agg(F.count(name)).first()[0]
+        q1, q3 = (self.nth(name, int(q * n)) if n else 0.0 for q in (0.25, 0.75))
+        low, high = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
         return self.with_column("is_outlier", F.coalesce((F.col(name) < low) | (F.col(name) > high), F.lit(False)))
 
     def nth(self, name: str, k: int):
