@@ -218,7 +218,8 @@ def _(s, d):
 
 @query("pagerank_trade_top")
 def pagerank_trade_top(s, d):
-    return A.top_k(A.pagerank(trade(s, d), rounds=10, tol=None, direction="both"), "rank", 10)
+    scored = A.pagerank(trade(s, d), rounds=10, tol=None, direction="both").withColumnRenamed("rank", "score")
+    return A.top_k(scored, "score", 10)
 
 
 @query("bfs", f"WITH RECURSIVE {_FLOW}, w AS (SELECT 3::BIGINT AS node_id, 0 AS depth UNION SELECT target, depth + 1 FROM w JOIN fe ON source = node_id WHERE depth < 25) SELECT node_id, min(depth) AS depth FROM w GROUP BY 1")
