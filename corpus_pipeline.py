@@ -33,10 +33,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without contamination by the benchmark; rows that share a doc_id go together."""
+    """Rows without contamination by the benchmark; each is judged by its own text.
+
+    A verdict meets its rows by doc_id and the hash of the text: rows that agree in both have one verdict.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = decontam.decontaminate(docs, items).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = decontam.decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (decontam.text_hash() == F.col("bad_hash")), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

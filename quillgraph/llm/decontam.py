@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.plans.staging import cut, ship_package
@@ -89,14 +89,21 @@ def make_segment(ids: np.ndarray, n_terms: int) -> Segment:
     return Segment(np.concatenate([[0], np.cumsum(np.bincount(t, minlength=n_terms))]), at[order].astype(np.int64))
 
 
-INDEX_SCHEMA = "segment string, doc_ids array<bigint>, starts array<int>, lengths array<int>, off binary, pos binary"
+
+def text_hash() -> Column:
+    """What the index keeps of a text: its XXH64, null counting as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))
+
+
+INDEX_SCHEMA = "segment string, doc_ids array<bigint>, text_hashes array<bigint>, starts array<int>, lengths array<int>, off binary, pos binary"
 
 
 def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
     """Positional postings of ``terms`` over every document, one row a segment, in shared storage.
 
     Null and empty texts have no words and still stand in ``doc_ids``.  Repeated rows are indexed as
-    often as they occur.  Only columns doc_id and text are read.
+    often as they occur.  ``text_hashes`` has the XXH64 of each text, by which a verdict finds its row again.
+    Only columns doc_id and text are read.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -105,7 +112,7 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
 
     def run(batches):
         get = number.value.get
-        doc_ids, starts, lengths, parts, held = [], [], [], [], 0
+        doc_ids, hashes, starts, lengths, parts, held = [], [], [], [], [], 0
 
         count = [0]
 
@@ -118,6 +125,7 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
                 {
                     "segment": pa.array([f"{TaskContext.get().partitionId()}-{count[0]}"]),
                     "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
+                    "text_hashes": pa.array([hashes], pa.list_(pa.int64())),
                     "starts": pa.array([starts], pa.list_(pa.int32())),
                     "lengths": pa.array([lengths], pa.list_(pa.int32())),
                     "off": pa.array([s.off.astype(np.int32).tobytes()], pa.binary()),
@@ -126,13 +134,14 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
             )
 
         for b in batches:
-            own = b.column("doc_id").to_pylist()
+            own, hashed = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
             for i, d in enumerate(own):
                 w = words_of(b.column("text")[i].as_py() or b"")
                 if doc_ids and held + len(w) > SEGMENT_WORDS:
                     yield flush()
-                    doc_ids, starts, lengths, parts, held = [], [], [], [], 0
+                    doc_ids, hashes, starts, lengths, parts, held = [], [], [], [], [], 0
                 doc_ids.append(d)
+                hashes.append(hashed[i])
                 starts.append(held)
                 lengths.append(len(w))
                 parts.append(np.fromiter((get(x, -1) for x in w), np.int32, len(w)))
@@ -141,7 +150,7 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
         if doc_ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"), text_hash().alias("text_hash"))
     return cut(rows.mapInArrow(run, INDEX_SCHEMA), "postings")
 
 
@@ -177,7 +186,7 @@ def item_blocks(items: DataFrame):
     yield block
 
 
-HITS_SCHEMA = "segment string, ord int, doc_id bigint, n_words bigint, hit array<int>, items array<string>"
+HITS_SCHEMA = "segment string, ord int, doc_id bigint, text_hash bigint, n_words bigint, hit array<int>, items array<string>"
 
 
 def phrase_hits(index: DataFrame, number: dict[bytes, int], items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> DataFrame:
@@ -211,6 +220,7 @@ def phrase_hits(index: DataFrame, number: dict[bytes, int], items: list[tuple[st
                             "segment": pa.array([row["segment"]] * (e - s)),
                             "ord": pa.array(range(s, e), pa.int32()),
                             "doc_id": pa.array(row["doc_ids"][s:e], pa.int64()),
+                            "text_hash": pa.array(row["text_hashes"][s:e], pa.int64()),
                             "n_words": pa.array(lengths[s:e], pa.int64()),
                             "hit": pa.array(hits[s:e], pa.list_(pa.int32())),
                             "items": pa.array([sorted(found.get(d, ())) for d in range(s, e)], pa.list_(pa.string())),
@@ -221,7 +231,7 @@ def phrase_hits(index: DataFrame, number: dict[bytes, int], items: list[tuple[st
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, hit positions, items found, contaminated.
+    """Per document row: doc_id, text_hash, n_words, n_hit, hit positions, items found, contaminated.
 
     A document is contaminated if it has a hit word and at least one word in twenty is hit.  Null,
     empty and word-free texts have no words and no hits.  An empty test set hits nothing.  Repeated
@@ -237,9 +247,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         for p in parts[1:]:
             hits = hits.unionByName(p)
         gather = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        hits = hits.groupBy("segment", "ord", "doc_id", "n_words").agg(gather("hit"), gather("items"))
+        hits = hits.groupBy("segment", "ord", "doc_id", "text_hash", "n_words").agg(gather("hit"), gather("items"))
     n_hit = F.size("hit").cast("long")
-    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), "hit", "items", ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return hits.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), "hit", "items", ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def digest(items: list[str]) -> str:

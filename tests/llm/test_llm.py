@@ -533,3 +533,17 @@ def test_pipeline_edge_cases(spark, tmp_path):
     assert ids.count(9) == 2 and ids.count(None) == 1  # different texts under one id, or none, all stay
     out = {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()}
     assert out == set(ids) - {5}  # it holds a short item of the benchmark
+
+
+def test_decontamination_judges_rows_not_ids(spark, tmp_path):
+    """A contaminated row takes no clean row with it that has the same id, or none."""
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    clean = ["a text of its own without anything else in it", "another text that holds nothing of the test set", None, ""]
+    rows = [(k, t, "en", "a", 0) for k in (None, 1) for t in [passage, passage, *clean]] + [(2, passage, "en", "a", 0), (3, clean[0], "en", "a", 0)]
+    d = tables(spark, tmp_path, rows)
+    spark.createDataFrame([("1", passage)], "item_id string, text string").write.mode("overwrite").parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, d)
+    assert kept.columns == docs.columns
+    want = Counter((k, t) for k in (None, 1) for t in clean) + Counter([(3, clean[0])])
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
