@@ -28,21 +28,26 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 100, tol: float | No
     """(node_id, rank).  Follows stored directions; rank of sinks is spread evenly.
 
     Stops when no rank moves by more than ``tol`` (None: after all rounds).  ``personal`` names a node
-    attribute that the teleport is in proportion to.
+    attribute that the teleport is in proportion to (the largest, where an id is repeated).  Null node
+    ids, and edges an end of which is null or no node, count nowhere.
     """
-    adj = g.adjacency(direction).select("node_id", "neighbor_id")
+    known = g.nodes.where("node_id IS NOT NULL")
+    known = known.groupBy("node_id").agg(F.max(personal).alias("__p")) if personal else known.select("node_id").distinct()
+    g = Graph(known, g.edges, g.directed)
     n = g.nodes.count()
     if not n:
         return g.nodes.select("node_id", F.lit(0.0).alias("rank"))
-    out = adj.groupBy("node_id").agg(F.count(F.lit(1)).alias("out"))
     if personal:
-        total = g.nodes.agg(F.sum(personal)).first()[0] or 0
-        base = (F.coalesce(F.col(personal), F.lit(0)) / F.lit(total) if total else F.lit(1.0 / n)).cast("double")
+        total = g.nodes.agg(F.sum("__p")).first()[0] or 0
+        base = (F.coalesce(F.col("__p"), F.lit(0)) / F.lit(total) if total else F.lit(1.0 / n)).cast("double")
     else:
         base = F.lit(1.0 / n)
-    small = local.small(adj.toDF("source", "target"), g.nodes, local_edges, base)
+    # the task leaves improper edges out by itself
+    small = local.small(g.adjacency(direction).select("node_id", "neighbor_id").toDF("source", "target"), g.nodes, local_edges, base)
     if small is not None:
         return local.one_task(small, local.pagerank(damping, rounds, tol), "node_id bigint, rank double")
+    adj = g.proper().adjacency(direction).select("node_id", "neighbor_id")
+    out = adj.groupBy("node_id").agg(F.count(F.lit(1)).alias("out"))
     links = cut(adj.join(out, "node_id"), "pagerank")
     nodes = cut(g.nodes.select("node_id", base.alias("base")).join(out, "node_id", "left"), "pagerank")
     state = nodes.select("node_id", F.lit(1.0 / n).alias("rank"))
@@ -165,15 +170,18 @@ def _least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def label_propagation(g: Graph, rounds: int = 20, tol: float = 0.01, seed_attr: str | None = None, self_vote: bool = True, local_edges: int | None = None) -> DataFrame:
     """(node_id, label): synchronous majority of neighbours, ties to the least label.
 
-    Stops when at most ``tol`` of the nodes changed.  A node's own vote counts once, if asked for.
+    Stops when at most ``tol`` of the nodes changed.  A node's own vote counts once, if asked for.  Null
+    node ids, and edges an end of which is null or no node, count nowhere.
     """
     first = F.coalesce(seed_attr, "node_id") if seed_attr else F.col("node_id")
+    known = g.nodes.where("node_id IS NOT NULL")
+    g = Graph(known if seed_attr else known.select("node_id").distinct(), g.edges, g.directed)
     # labels travel as doubles here, which are exact below 2**53
     exact = not seed_attr and local_edges != 0 and g.nodes.agg(F.coalesce(F.max(F.abs("node_id")), F.lit(0)) < F.lit(1 << 53)).first()[0]
     small = local.small(g.edges, g.nodes, local_edges, first) if exact else None
     if small is not None:
         return local.one_task(small, local.label_propagation(rounds, tol, self_vote), "node_id bigint, label bigint")
-    adj = cut(g.adjacency("both").select("node_id", "neighbor_id"), "lpa")
+    adj = cut(g.proper().adjacency("both").select("node_id", "neighbor_id"), "lpa")
     n = max(g.nodes.count(), 1)
     state = cut(g.nodes.select("node_id", first.alias("label")), "lpa")
 

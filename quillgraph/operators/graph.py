@@ -65,6 +65,15 @@ class Graph:
     def set_edge_attrs(self, updates: DataFrame) -> Graph:
         return Graph(self.nodes, _update(self.edges, updates, "edge_id"), self.directed)
 
+    def proper(self) -> Graph:
+        """Without null node ids and without edges an end of which is null or no node."""
+        nodes = self.nodes.where("node_id IS NOT NULL")
+        ids = nodes.select("node_id").distinct()
+        e = self.edges
+        for end in ("source", "target"):
+            e = e.join(ids.withColumnRenamed("node_id", end), end, "left_semi")
+        return Graph(nodes, e.select(*self.edges.columns), self.directed)
+
     # --- adjacency and counts ---
 
     def adjacency(self, direction: str = "auto") -> DataFrame:
@@ -191,13 +200,14 @@ class Graph:
     def components(self, local_edges: int | None = None) -> DataFrame:
         """(node_id, component): weak components, named by their least node; lone nodes are their own.
 
-        Graphs of up to ``local_edges`` (see ``local``; 0: never) are done in one task.
+        Null node ids, and edges an end of which is null or no node, are left out at every size.  Graphs of up to ``local_edges`` (see ``local``; 0: never) are done in one task.
         """
         small = local.small(self.edges, self.nodes, local_edges)
         if small is not None:
             return local.one_task(small, local.components, "node_id bigint, component bigint")
-        found = connected_components(self.edges)
-        out = self.nodes.select("node_id").join(found.withColumnRenamed("node", "node_id"), "node_id", "left")
+        g = self.proper()
+        found = connected_components(g.edges)
+        out = g.nodes.select("node_id").distinct().join(found.withColumnRenamed("node", "node_id"), "node_id", "left")
         return out.withColumn("component", F.coalesce("component", "node_id"))
 
     def largest_component(self) -> Graph:

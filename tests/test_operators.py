@@ -183,6 +183,22 @@ def test_one_task_and_supersteps_agree(spark):
     assert empty.components().count() == A.pagerank(empty).count() == A.label_propagation(empty).count() == 0
 
 
+def test_one_task_and_supersteps_agree_on_improper_graphs(spark):
+    """Edges to ids that are no nodes, null ends and null node ids count nowhere, whatever the size."""
+    nodes = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "node_id long")
+    edges = spark.createDataFrame([(1, 9, 0), (2, 9, 1), (9, 3, 2), (3, 4, 3), (4, 3, 4), (None, 1, 5), (2, None, 6), (None, None, 7), (1, 2, 8), (3, 3, 9)], "source long, target long, edge_id long")
+    g, proper = Graph(nodes, edges, True), Graph(nodes.where("node_id IS NOT NULL"), edges.where("edge_id IN (3, 4, 8, 9)"), True)
+    for f, c in ((lambda g, n: g.components(n), "component"), (lambda g, n: A.pagerank(g, rounds=20, tol=None, local_edges=n), "rank"), (lambda g, n: A.pagerank(g, rounds=20, tol=None, personal="node_id", direction="both", local_edges=n), "rank"), (lambda g, n: A.label_propagation(g, 4, -1.0, local_edges=n), "label")):
+        want = dict(rows(f(proper, None), "node_id", c))
+        for n in (None, 0):
+            got = rows(f(g, n), "node_id", c)
+            assert len(got) == 4 and dict(got) == pytest.approx(want, abs=1e-9)
+    ranks = dict(rows(A.pagerank(g, rounds=20, tol=None, local_edges=0), "node_id", "rank"))
+    assert sum(ranks.values()) == pytest.approx(1.0)
+    apart = Graph(nodes, edges.where("edge_id < 2"))
+    assert rows(apart.components(0), "node_id", "component") == rows(apart.components(), "node_id", "component") == [(k, k) for k in (1, 2, 3, 4)]
+
+
 def test_generators(spark):
     assert G.watts_strogatz(spark, 20, 4, 0.2, 1).edges.count() == 40
     assert G.barabasi_albert(spark, 30, 2, 1).edges.count() == 56
