@@ -1,18 +1,23 @@
 """Secret scanning: fixed rules, and a character-level convolutional network over every candidate.
 
-Candidates are the findings of three fixed rules and all other long tokens that mix letters with
-digits.  The network sees a candidate whole, with the text around it: characters are embedded,
-convolved, pooled by maximum over all positions, and scored by a logistic unit.  It is trained in
-numpy on labelled findings: what the rules found is a secret, other candidates of the sample are
-not.  Scores are calibrated on findings that were held out; the threshold is even odds, or lower if
-that is needed to recall the wanted share of them.  A rule's finding always stays; the network adds
-candidates that no rule finds.
+Candidates are the findings of three fixed rules, the values of assignments under any name, and all
+other tokens that don't look like a plain word.  The network sees a candidate whole, with the text
+around it: characters are embedded, convolved, pooled by maximum over all positions, and scored by a
+logistic unit.  It is trained in numpy on labelled findings only: the rules' findings, and secrets and
+non-secrets of many forms that are generated from a seed and the text's own common words.  What no
+label is known of teaches nothing.  Scores are calibrated on findings that were held out; the threshold
+is even odds, or lower if that is needed to recall the wanted share of them.  All candidates are
+scored.  A rule's finding always stays; the network adds candidates that no rule finds.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
+import random
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import append_columns, map_batches
+from quillgraph.plans.staging import cut
 
 # The rules of the query's contract.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -29,13 +35,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the same as runs of 24 and more: a run is
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "cnn")
 
-#: Other candidates: long tokens in which letters and digits mix.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.DOTALL)
+#: Other candidates: values that any name is given, and tokens that are no plain word.
+VALUE = re.compile(r"""(?<![A-Za-z0-9])[A-Za-z_][A-Za-z0-9_-]*["']?\x20*[:=]\x20*["']?([^\s"'<>,;:=\[\]](?:[^\s"'<>,;\[\]]{4,})[^\s"'<>,;.\[\]])""")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])|.*[a-z].*[A-Z]|[A-Z]+[a-z]+[A-Z]|[A-Za-z]{20,}$|[A-Z]{12,}$", re.DOTALL)
 
-#: Documents (about, by a hash of the id) that labelled findings are taken from, and findings of
-#: either label that the network learns from.
+#: Documents (about, by a hash of the id) that the rules' findings and common words are taken from, and
+#: how many of either.
 SAMPLE_DOCS, SAMPLE_FINDINGS = 20_000, 2_000
+#: Generated findings of either label, and documents of the sample that make a word common.
+GENERATED, COMMON = 4_000, 3
 #: Characters of context on either side; share of held-out secrets that the threshold must recall.
 LEFT, RIGHT, RECALL = 24, 8, 0.98
 #: Characters of the longest finding that the network learns from (it scores findings of any length).
@@ -56,12 +65,17 @@ def rule_spans(text: str) -> list[Span]:
 
 
 def other_candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Long mixed tokens that overlap no finding of a rule."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        if _MIXED.match(m[0]) and not any(s < m.end() and m.start() < e for s, e, _ in base):
-            out.append((m.start(), m.end()))
-    return out
+    """Assigned values, then unusual tokens, that overlap no finding of a rule nor one another."""
+    own, base_spans = [], [(s, e) for s, e, _ in base]
+    for m, g in itertools.chain(((m, 1) for m in VALUE.finditer(text)), ((m, 0) for m in CANDIDATE.finditer(text) if _MIXED.match(m[0]))):
+        s, e = m.span(g)
+        if any(x < e and s < y for x, y in base_spans):
+            continue
+        at = bisect.bisect_left(own, (s, e))
+        if any(x < e and s < y for x, y in own[max(0, at - 1) : at + 1]):
+            continue
+        own.insert(at, (s, e))
+    return own
 
 
 def characters(text: str, start: int, end: int, context: bool = True) -> list[int]:
@@ -172,75 +186,169 @@ def fit(secrets: list[list[int]], others: list[list[int]], recall: float = RECAL
     return net
 
 
+#: Names that generated secrets, and other values, are assigned to; no rule knows any of them.
+_SECRET_NAMES = "pwd pass passphrase client_key private_key access_code credential credentials auth bearer signing_key key licence_key pin_code session db_pass master_key".split()
+_OTHER_NAMES = "note title date version colour author name status order page label source category path file model created updated id url key".split()
+_WORDS = "about after again answer between country different example family following general important language letter morning mountain number paper people picture question river school science second sentence something station street system together winter without window yellow".split()
+
+
+def _secret(rng: random.Random, words: list[str]) -> tuple[str, bool]:
+    """A generated secret, and whether it can be told without a name before it."""
+    draw = lambda alphabet, low, high: "".join(rng.choices(alphabet, k=rng.randint(low, high)))
+    alnum, symbols = string.ascii_letters + string.digits, "!@#$%^&*+?"
+    form = rng.randrange(9)
+    if form == 0:
+        return draw(alnum, 12, 48), True
+    if form == 1:
+        return draw(rng.choice(["0123456789abcdef", "0123456789ABCDEF"]), 12, 23), True
+    if form == 2:
+        return draw(alnum + "+/", 16, 60) + rng.choice(["", "=", "=="]), True
+    if form == 3:
+        return draw(string.ascii_letters, 16, 40), True
+    if form == 4:
+        return draw(rng.choice([string.ascii_lowercase, string.ascii_uppercase]), 20, 40), True
+    if form == 5:
+        return rng.choice(["sk_live_", "ghp_", "pk-", "xoxb-", "key-", "eyJ"]) + draw(alnum, 16, 36), True
+    if form == 6:
+        return draw(alnum + symbols, 8, 16), False
+    if form == 7:
+        return draw(string.ascii_lowercase + string.digits, 8, 12), False
+    return rng.choice(words).capitalize() + draw(string.digits, 2, 4) + draw(symbols, 1, 2), False
+
+
+def _other(rng: random.Random, words: list[str]) -> str:
+    """A generated candidate that is no secret."""
+    w = lambda: rng.choice(words)
+    n = lambda low, high: str(rng.randint(low, high))
+    form = rng.randrange(12)
+    if form == 0:
+        return w()
+    if form == 1:
+        return rng.choice([w().capitalize(), w().upper(), (w() + w()).upper()])
+    if form == 2:
+        return "".join(w().capitalize() for _ in range(rng.randint(2, 4)))
+    if form == 3:
+        return rng.choice("_-/").join(w() for _ in range(rng.randint(2, 5)))
+    if form == 4:
+        return f"{n(1900, 2099)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}" + rng.choice(["", f"T{rng.randint(0, 23):02}:{rng.randint(0, 59):02}:{rng.randint(0, 59):02}Z"])
+    if form == 5:
+        return w() + rng.choice(["", "-", "_"]) + n(1, 9999)
+    if form == 6:
+        return n(1, 99999) + rng.choice(["", "-", "_"]) + w()
+    if form == 7:
+        return f"v{n(0, 20)}.{n(0, 20)}.{n(0, 99)}"
+    if form == 8:
+        return "".join(w() for _ in range(rng.randint(2, 4)))
+    if form == 9:
+        return w() + "".join(w().capitalize() for _ in range(rng.randint(1, 3)))
+    if form == 10:
+        return rng.choice(["=", "-", "_", "ab", "xX", "0", "+-"]) * rng.randint(8, 30)
+    return rng.choice(["http", "www", w()]) + "/" + w() + rng.choice(["/", "-", "_"]) + w() + n(0, 99)
+
+
+def labelled(n: int, words: list[str], seed: int) -> list[tuple[str, int, int, int]]:
+    """``n`` generated (text, start, end, label) of either label, in turn; label 1 is a secret."""
+    rng, out = random.Random(seed), []
+    words = [*_WORDS, *words]
+    for k in range(2 * n):
+        value, bare = _secret(rng, words) if k % 2 else (_other(rng, words), True)
+        loud, gap = rng.random() < 0.2, rng.choice([" ", "!! ", ". ", ", "])
+        value = "".join(rng.choice(words) for _ in range(rng.randint(1, 3))).upper() if loud and not k % 2 else value
+        prose = lambda: (str.upper if loud else str)((gap if loud else " ").join(rng.choice(words) for _ in range(rng.randint(0, 5))))  # noqa: B023, E731
+        before, after = prose() + (gap if loud else " "), (gap if loud else " ") + prose()
+        if not bare or rng.random() < 0.5:
+            # words stand behind names of secrets, too: the name alone proves nothing
+            name = rng.choice(_SECRET_NAMES if k % 2 or rng.random() < 0.3 else _OTHER_NAMES)
+            quote = rng.choice(["", "", "'", '"'])
+            before += rng.choice([name, name.upper(), name.capitalize()]) + rng.choice(["=", ": ", " = ", ":"]) + quote
+            after = quote + after
+        out.append((before + value + after, len(before), len(before) + len(value), k % 2))
+    return out
+
+
+def rule_value(text: str, start: int, end: int) -> int:
+    """Where the secret itself starts in a rule's finding: behind the name, in an assignment."""
+    m = ASSIGN.match(text, start)
+    return m.start(2) if m and m.end() == end else start
+
+
 def train(docs: DataFrame) -> Network | None:
-    """A network from labelled findings of a bounded sample of ``docs``."""
+    """A network from the rules' findings of a bounded sample of ``docs`` and generated candidates."""
     n = docs.count()
     if not n:
         return None
     dice = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("secrets")), F.lit(1 << 20)) / float(1 << 20)
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        chars, label = [], []
+        chars, words = [], []
         for t in b.column("text").to_pylist():
-            base = rule_spans(t or "")
-            for s, e, _ in base:
-                m = ASSIGN.match(t, s)
+            for s, e, _ in rule_spans(t or ""):
                 # the value, with what stands around it and alone: it must be known by itself too
-                s = m.start(2) if m and m.end() == e else s
-                chars += [characters(t, s, e), characters(t, s, e, False)]
-                label += [1, 1]
-            for s, e in other_candidates(t or "", base):
+                s = rule_value(t, s, e)
                 chars += [characters(t, s, e), characters(t, s, e, False)]
-                label += [0, 0]
-            # words of the text are no secrets, however long
-            for m in re.finditer(r"[^\W\d_]{14,}", t or ""):
-                chars.append(characters(t, *m.span()))
-                label.append(0)
+            words += sorted({w.lower() for w in re.findall(r"(?<![^\W_])[^\W\d_]{4,20}(?![^\W_])", t or "")})
         order = [int.from_bytes(hashlib.md5(bytes(c)).digest()[:7], "little") for c in chars]
-        return pa.RecordBatch.from_pydict({"chars": pa.array(chars, pa.list_(pa.int64())), "label": pa.array(label, pa.int64()), "o": pa.array(order, pa.int64())})
+        rows = len(chars) + len(words)
+        return pa.RecordBatch.from_pydict({"chars": pa.array(chars + [None] * len(words), pa.list_(pa.int64())), "word": pa.array([None] * len(chars) + words, pa.string()), "o": pa.array(order + [0] * (rows - len(order)), pa.int64())})
 
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(dice < min(1.0, SAMPLE_DOCS / n)).select("text")
-    found = map_batches(sample, kernel, "chars array<bigint>, label bigint, o bigint").where(F.size("chars") <= LONGEST_LEARNED)
-    of = {k: [r["chars"] for r in found.where(F.col("label") == k).orderBy("o", "chars").limit(SAMPLE_FINDINGS).collect()] for k in (1, 0)}
-    return fit(of[1], of[0])
-
-
-def scan(texts: list[str], net: Network | None) -> list[list[Span]]:
-    """All spans of each text: the rules' and those that the network adds, in order."""
-    out, asked, chars = [], [], []
+    found = cut(map_batches(sample, kernel, "chars array<bigint>, word string, o bigint"), "secrets")
+    rules = [r["chars"] for r in found.where(F.size("chars").between(0, LONGEST_LEARNED)).orderBy("o", "chars").limit(SAMPLE_FINDINGS).collect()]
+    # a word of several documents is one of the language, not a key of letters only
+    common = found.where("word IS NOT NULL").groupBy("word").count().where(F.col("count") >= COMMON)
+    words = [r["word"] for r in common.orderBy(F.xxhash64("word"), "word").limit(SAMPLE_FINDINGS).collect()]
+    made = labelled(GENERATED, words, 11)
+    of = {k: [characters(t, s, e) for t, s, e, label in made if label == k] for k in (1, 0)}
+    return fit([*rules, *of[1]], of[0])
+
+
+def scored(texts: list[str], net: Network | None) -> list[list[tuple[int, int, str, float | None]]]:
+    """All spans of each text, the rules' and those that the network adds, in order, with the network's
+    calibrated score of each (None without a network)."""
+    out: list[list] = [[] for _ in texts]
+    asked, chars = [], []
     for i, t in enumerate(texts):
         base = rule_spans(t)
-        out.append(base)
-        if net is not None:
-            for s, e in other_candidates(t, base):
-                asked.append((i, s, e))
-                chars.append(characters(t, s, e))
+        if net is None:
+            out[i] = [(*x, None) for x in base]
+            continue
+        for s, e, kind in base:
+            asked.append((i, s, e, kind))
+            chars.append(characters(t, rule_value(t, s, e), e))
+        for s, e in other_candidates(t, base):
+            asked.append((i, s, e, "cnn"))
+            chars.append(characters(t, s, e))
     if asked:
-        for (i, s, e), p in zip(asked, net.probability(chars), strict=True):
-            if p >= net.threshold:
-                out[i].append((s, e, "cnn"))
+        for (i, s, e, kind), p in zip(asked, net.probability(chars), strict=True):
+            if kind != "cnn" or p >= net.threshold:
+                out[i].append((s, e, kind, float(p)))
     return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in out]
 
 
+def scan(texts: list[str], net: Network | None) -> list[list[Span]]:
+    """The spans of ``scored`` without their scores."""
+    return [[x[:3] for x in found] for found in scored(texts, net)]
+
+
 def listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"
+SPANS = "array<struct<start:bigint,end:bigint,kind:string,score:double>>"
 
 
 def find_secrets(docs: DataFrame, net: Network | None, id_col: str = "doc_id") -> DataFrame:
-    """(id, spans) for each row: start and end in code points (end exclusive), and kind.
+    """(id, spans) for each row: start and end in code points (end exclusive), kind, and score.
 
     Null and empty texts have no spans.  Repeated rows stay; an empty table gives an empty result;
-    other columns are not read.  Without a network (too few findings to learn from) only the rules
+    other columns are not read.  Without a network (an empty table) only the rules
     find.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = scan([t or "" for t in b.column("text").to_pylist()], shared.value)
-        spans = pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in x] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])))
+        found = scored([t or "" for t in b.column("text").to_pylist()], shared.value)
+        spans = pa.array([[{"start": s, "end": e, "kind": k, "score": p} for s, e, k, p in x] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())])))
         return pa.RecordBatch.from_arrays([b.column(id_col), spans], [id_col, "spans"])
 
     rows = docs.select(id_col, F.col("text").cast("string").alias("text"))

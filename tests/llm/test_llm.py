@@ -547,3 +547,25 @@ def test_decontamination_judges_rows_not_ids(spark, tmp_path):
     assert kept.columns == docs.columns
     want = Counter((k, t) for k in (None, 1) for t in clean) + Counter([(3, clean[0])])
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+
+
+#: Secrets that no rule finds: short, of letters only, with symbols, under other names.
+UNKNOWN = ["use pwd=kT9#vQ2m!x now", "client_key: qXbZrTkWvNpLsJdH end", "send auth = 9f86d081884c7d65 to us", "the value Zk3vT8qLw1Xr stands here", "DB_PASS='x7k2m9q4w1' is set", "a line with sk_live_4eC39HqLyjWDarjtT1zd in it"]
+PLAIN = ["the report of 2020-01-15T10:20:30Z was read", "title: introduction to mountains", "see MountainSchoolLetter or winter_street_window", "version: v1.22.3, file: winter/street-window12", "HERE IS A MOUNTAINSCHOOL", "a line ==================== of signs"]
+
+
+def test_secrets_that_no_rule_finds(spark):
+    """Recall of planted secrets, and what is added to text without any; unlabelled text teaches nothing."""
+    rng = random.Random(9)
+    rows = [(k, f"token={''.join(rng.choices('abcdef0123456789', k=20))} {u}" if k % 2 else u) for k, u in enumerate((UNKNOWN + PLAIN) * 6)]
+    assert not any(secrets.rule_spans(t) for t in UNKNOWN + PLAIN)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net = secrets.train(docs)
+    found = secrets.scan(UNKNOWN, net)
+    assert sum(any(k == "cnn" for _, _, k in x) for x in found) >= 5
+    assert sum(len(x) for x in secrets.scan(PLAIN, net)) <= 1
+    spans = [(t[s:e], k, p) for x, t in zip(secrets.scored([r[1] for r in rows], net), [r[1] for r in rows]) for s, e, k, p in x]
+    assert {k for _, k, _ in spans} == {"assign", "cnn"} and all(0 <= p <= 1 for _, _, p in spans)
+    held = secrets.labelled(1000, [], 5)
+    hit = Counter((label, bool(x)) for (t, s, e, label), x in zip(held, [[y for y in f if y[0] < e and s < y[1]] for f, (_, s, e, _) in zip(secrets.scan([h[0] for h in held], net), held)]))
+    assert hit[1, True] / 1000 > 0.9 and hit[0, True] / 1000 < 0.05
