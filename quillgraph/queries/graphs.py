@@ -2,6 +2,9 @@
 
 trade: customers and suppliers, an edge where a supplier's parts went into a customer's orders.
 flow: nations, the three strongest flows of lines from each supplier nation to customer nations.
+flows: nations and all flows between them.
+returns: trade, directed, with edges back from suppliers to the customers who returned goods.
+places: trade, and edges from customers and suppliers to their nations.
 log: the events as a log of changes, an event being a commit and its user an entity.
 """
 
@@ -26,6 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Suppliers' node ids start here.
 SUPPLIERS = 1_000_000_000
+#: Nations' node ids start here, where they stand beside suppliers.
+NATIONS = 2_000_000_000
 
 
 def query(name: str, sql: str | None = None):
@@ -60,6 +65,30 @@ def flow(s: SparkSession, d: str, directed: bool = True) -> Graph:
     return Graph(nodes, e, directed)
 
 
+def flows(s: SparkSession, d: str, directed: bool = True) -> Graph:
+    """Every flow between two nations, the lighter ones too."""
+    g = trade(s, d)
+    of = g.nodes.select("node_id", F.col("nation").cast("long").alias("nation"))
+    e = g.edges.join(of.toDF("source", "to"), "source").join(of.toDF("target", "from"), "target")
+    e = e.groupBy(F.col("from").alias("source"), F.col("to").alias("target")).agg(F.sum("n").alias("w")).where("source <> target").withColumn("edge_id", F.col("source") * 100 + F.col("target"))
+    nodes = read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region"))
+    return Graph(nodes, e, directed)
+
+
+def returns(s: SparkSession, d: str) -> Graph:
+    g = trade(s, d)
+    back = read(s, d, "lineitem").where("l_returnflag = 'R'").join(read(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    back = back.groupBy((F.col("l_suppkey") + SUPPLIERS).alias("source"), F.col("o_custkey").alias("target")).agg(F.sum("l_extendedprice").alias("w"), F.count(F.lit(1)).alias("n"))
+    return Graph(g.nodes, g.edges.unionByName(back.withColumn("edge_id", -F.col("target") * 1_000_000 - (F.col("source") - SUPPLIERS))), True)
+
+
+def places(s: SparkSession, d: str) -> Graph:
+    g = trade(s, d)
+    at = g.nodes.select(F.col("node_id").alias("source"), (F.col("nation") + NATIONS).cast("long").alias("target"), (-1 - F.col("node_id")).alias("edge_id"))
+    nodes = g.nodes.select("node_id").unionByName(read(s, d, "nation").select((F.col("n_nationkey") + NATIONS).cast("long").alias("node_id")))
+    return Graph(nodes, g.edges.select("source", "target", "edge_id").unionByName(at))
+
+
 def history(s: SparkSession, d: str) -> History:
     e = read(s, d, "events")
     commits = e.select(F.col("event_id").alias("commit_id"), F.when(F.col("event_id") > 0, F.array(F.col("event_id") - 1)).otherwise(F.array().cast("array<bigint>")).alias("parents"), F.unix_timestamp("ts").alias("ts"), F.lit("").alias("author"), F.col("event_type").alias("message"), F.lit("main").alias("branch"))
@@ -307,32 +336,32 @@ def _(s, d):
 
 @query("louvain")
 def _(s, d):
-    return A.louvain(flow(s, d, False), weight="w")
+    return A.louvain(flows(s, d, False), weight="w")
 
 
 @query("leiden")
 def _(s, d):
-    return A.leiden(flow(s, d, False), weight="w")
+    return A.leiden(flows(s, d, False), weight="w")
 
 
 @query("girvan_newman")
 def _(s, d):
-    return A.girvan_newman(flow(s, d, False))
+    return A.girvan_newman(flows(s, d, False))
 
 
 @query("infomap_majority")
 def _(s, d):
-    return A.infomap_majority(flow(s, d, False), 10)
+    return A.infomap_majority(trade(s, d), 10)
 
 
 @query("dfs")
 def _(s, d):
-    return A.dfs(flow(s, d), 3)
+    return A.dfs(flows(s, d), 3)
 
 
 @query("random_walks")
 def _(s, d):
-    g = flow(s, d)
+    g = returns(s, d)
     return A.random_walks(g, g.nodes.select("node_id"), 5, 0.15, 7)
 
 
@@ -485,7 +514,7 @@ def _(s, d):
 
 @query("dsl_label_propagation")
 def _(s, d):
-    return B.dsl_label_propagation(5)(flow(s, d, False))
+    return B.dsl_label_propagation(5)(trade(s, d))
 
 
 # --- steps and further subgraph queries ---
@@ -539,3 +568,87 @@ def _(s, d):
     from quillgraph.operators import embedding
 
     return embedding.pca(read(s, d, "embeddings"), "embedding", 2, "vec_id").select("vec_id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
+
+
+# --- whole graphs: supersteps over trade and what is built on it, no edge left out ---
+
+
+@query("pagerank_trade")
+def _(s, d):
+    return A.pagerank(returns(s, d), rounds=10, tol=None, local_edges=0)
+
+
+@query("bfs_trade")
+def _(s, d):
+    return A.bfs(returns(s, d), _one(s))
+
+
+@query("shortest_paths_trade")
+def _(s, d):
+    return A.sssp(returns(s, d), _one(s), "w").select("node_id", "distance")
+
+
+@query("connected_components_trade")
+def _(s, d):
+    return trade(s, d).components(0)
+
+
+@query("strong_components_trade")
+def _(s, d):
+    return A.strong_components(returns(s, d))
+
+
+@query("label_propagation_trade")
+def _(s, d):
+    return A.label_propagation(trade(s, d), rounds=4, tol=-1.0, local_edges=0)
+
+
+@query("k_core_trade")
+def _(s, d):
+    return A.k_core(trade(s, d), 8)
+
+
+@query("triangles_places")
+def _(s, d):
+    return places(s, d).triangles()
+
+
+@query("clustering_places")
+def _(s, d):
+    return places(s, d).clustering()
+
+
+@query("transitivity_places")
+def _(s, d):
+    return places(s, d).transitivity()
+
+
+@query("modularity_trade")
+def _(s, d):
+    g = trade(s, d)
+    return A.modularity(g, g.nodes.select("node_id", "nation"), "w")
+
+
+@query("laplacian_trade")
+def _(s, d):
+    return Matrix.adjacency(trade(s, d).edges, NATIONS).laplacian().cells
+
+
+@query("dsl_pagerank_trade")
+def _(s, d):
+    return B.dsl_pagerank(rounds=8)(returns(s, d))
+
+
+@query("closeness_flows")
+def _(s, d):
+    return A.closeness(flows(s, d))
+
+
+@query("betweenness_flows")
+def _(s, d):
+    return A.betweenness(flows(s, d, False), normalized=False)
+
+
+def _one(s: SparkSession) -> DataFrame:
+    """The customer that searches start from."""
+    return s.createDataFrame([(1,)], "node_id long")
