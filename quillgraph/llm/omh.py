@@ -1,6 +1,7 @@
 """Document fingerprints by Order MinHash, in DataFrame expressions only.
 
-The k-mers of a text are runs of ``K`` words (split at single spaces).  Equal k-mers are numbered in
+The k-mers of a text are runs of ``K`` words (split at single spaces); in a text of few words or of
+words so long that spaces can't be what parts it, they are runs of ``K + GRAM - 1`` characters.  Equal k-mers are numbered in
 text order, so that a repeated one counts as often as it stands there.  The hashes of the numbered
 k-mers fall into ``BINS`` ranges, as in one-permutation hashing; the ``PICK`` least hashes of a
 range, put back into text order, are hashed as one tuple.  A tuple survives an edit only if its
@@ -22,6 +23,9 @@ from quillgraph.plans.staging import cut
 
 #: Words of a k-mer, ranges of the hash, and k-mers of a tuple.
 K, BINS, PICK = 2, 32, 2
+#: Characters take the place of words in texts of at least LEAST_CHARS of them that have fewer than
+#: FEW_WORDS words, or more than LONG_WORD characters a word; GRAM characters then make a "word".
+LEAST_CHARS, FEW_WORDS, LONG_WORD, GRAM = 8, 8, 20, 3
 _POS, _HASH = 27, 36
 _MASK = (1 << _POS) - 1
 _BIN = _POS + _HASH - (BINS.bit_length() - 1)
@@ -57,7 +61,11 @@ def signature(text: Column) -> Column:
 
     Null counts as the empty text, which has the one word "".
     """
-    words = F.split(F.coalesce(text, F.lit("")), " ")
+    text = F.coalesce(text, F.lit(""))
+    n = F.char_length(text)
+    grams = lambda c: F.transform(c, lambda x, i: F.concat_ws("", x, *[F.get(c, i + j) for j in range(1, GRAM)]))
+    few = lambda w: (n >= LEAST_CHARS) & ((F.size(w) < FEW_WORDS) | (n > LONG_WORD * F.size(w)))
+    words = _let(F.split(text, " "), lambda w: F.when(few(w), _let(F.split(text, ""), grams)).otherwise(w))
     positions = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - K, F.lit(0)))
     kmers = lambda w: F.sort_array(F.transform(positions(w), lambda i: _packed(F.xxhash64(*[F.get(w, i + j) for j in range(K)]), i)))
     numbered = lambda s: F.sort_array(F.transform(s, lambda x, i: _packed(F.xxhash64(_hash_of(x), _number(s, x, i)), x)))

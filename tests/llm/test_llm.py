@@ -569,3 +569,16 @@ def test_secrets_that_no_rule_finds(spark):
     held = secrets.labelled(1000, [], 5)
     hit = Counter((label, bool(x)) for (t, s, e, label), x in zip(held, [[y for y in f if y[0] < e and s < y[1]] for f, (_, s, e, _) in zip(secrets.scan([h[0] for h in held], net), held)]))
     assert hit[1, True] / 1000 > 0.9 and hit[0, True] / 1000 < 0.05
+
+
+def test_order_minhash_of_texts_without_spaces(spark):
+    """An edit of a short, Chinese, tab-separated or unbroken text leaves a likeness; another text has none."""
+    rng = random.Random(6)
+    many = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300))
+    lines = "\t".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))
+    texts = [many, lines, "".join(rng.choices("abcdefghij0123456789", k=400)), "only four words here", "\U00020000\U00020001 ab" * 4]
+    rows = [(t, t[: len(t) - len(t) // 4] + "zyxwv" * (len(t) // 20 + 1), "quite another sentence") for t in texts]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    like = lambda x, y: omh.likeness(omh.signature(F.col(x)), omh.signature(F.col(y)))
+    for r in df.select(like("a", "b").alias("near"), like("a", "c").alias("far")).collect():
+        assert r["near"] > 0.05 and r["far"] < r["near"]
