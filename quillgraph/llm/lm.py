@@ -26,12 +26,11 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_fold
+from quillgraph.llm.common import crc_fold, planes, unplanes
 from quillgraph.plans.staging import cut, ship_package
 
 #: Tokens of a block (a longer document is a block of its own) and requests that a range receives.
@@ -49,16 +48,6 @@ def tokens_of(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def planes(a: np.ndarray) -> bytes:
-    """Byte planes of an array, compressed: equal high bytes stand together."""
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), 1)
-
-
-def unplanes(b: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
 def make_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of documents as a table bucketed by block (see BLOCKS_SCHEMA)."""
     spark = docs.sparkSession

@@ -82,7 +82,7 @@ def test_segment_search_matches_scan():
     rng = random.Random(3)
     ids = np.array([rng.randrange(-1, 4) for _ in range(400)], np.int32)
     seg = decontam.make_segment(ids, 4)
-    again = decontam.read_segment({"off": seg.off.astype(np.int32).tobytes(), "pos": _gaps(seg)})
+    again = decontam.from_gaps(seg.off, decontam.gaps(seg))
     assert (again.pos == seg.pos).all()
     for n in (1, 2, 3, 5):
         for _ in range(20):
@@ -94,12 +94,31 @@ def test_segment_search_matches_scan():
     assert near.tolist() == [i for i in range(400) if ids[i] == rare and (1 - rare) in ids[max(0, i - 2) : i + 3]]
 
 
-def _gaps(seg):
-    out = []
-    for t in range(len(seg.off) - 1):
-        p = seg.postings(t)
-        out.append(np.diff(p, prepend=0))
-    return np.concatenate(out).astype(np.int32).tobytes()
+def test_proximity_matches_scan(spark):
+    """All words of an item within so many words of its rarest one, inside one document."""
+    rng = random.Random(8)
+    words = "red green blue dark light tree stone".split()
+    rows = [(f"d{k}", " ".join(rng.choices(words, [9, 7, 5, 3, 3, 2, 1], k=rng.randrange(0, 40)))) for k in range(30)]
+    items = [("a", "tree stone"), ("b", "Stone red red"), (None, "light"), ("c", ""), ("d", "absent red")]
+    index = decontam.build_index(spark.createDataFrame(rows, "doc_id string, text string").coalesce(1))
+    got = {(r["doc_id"], r["item_id"], r["position"]) for r in decontam.proximity_matches(index, spark.createDataFrame(items, "item_id string, text string"), 3).collect()}
+    total = Counter(w for _, t in rows for w in t.split())
+    order = list(dict.fromkeys(w for _, t in rows for w in t.split()))
+    want = set()
+    for i, text in items:
+        own = set(text.lower().split())
+        if own and own <= set(total):
+            rare = min(own, key=lambda w: (total[w], order.index(w)))
+            for d, t in rows:
+                t = t.split()
+                want |= {(d, i, p) for p, w in enumerate(t) if w == rare and own <= set(t[max(0, p - 3) : p + 4])}
+    assert got == want and len({i for _, i, _ in want}) == 3
+
+
+def test_items_without_an_id_hit(spark):
+    docs = spark.createDataFrame([("x", "some words of a test item stand here"), ("y", "none")], "doc_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.decontaminate(docs, spark.createDataFrame([(None, "words of a test item")], "item_id string, text string")).collect()}
+    assert got == {"x": (5, []), "y": (0, [])}
 
 
 def test_many_item_blocks_give_the_same(spark, docs, monkeypatch):
@@ -499,6 +518,26 @@ def test_toxicity_on_held_out_labels(spark):
 # --- the pipeline ---
 
 
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_pipeline_drops_small_passages(spark, tmp_path):
+    """A benchmark passage of one to five percent of a long document takes the document out."""
+    rng = random.Random(12)
+    passage = " ".join(f"item{k}" for k in range(13))
+    rows = []
+    for k in range(20):
+        text = [rng.choice("one two three four five six".split()) for _ in range(300 + 50 * k)]
+        if k % 2:
+            text.insert(rng.randrange(len(text)), passage)
+        rows.append((k, " ".join(text), "en", "a", 0))
+    d = tables(spark, tmp_path, rows)
+    spark.createDataFrame([("1", passage)], "item_id string, text string").write.mode("overwrite").parquet(f"{d}/benchmark.parquet")
+    kept = corpus_pipeline.benchmark_decontamination(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 20, 2))
+
+
 def test_pipeline_stages(spark, docs):
     """Each stage on what the one before kept, against what its operator says of that input."""
     before = docs
@@ -511,8 +550,12 @@ def test_pipeline_stages(spark, docs):
         if name == "simhash_near_dedup":
             assert kept == {r["component_id"] for r in simhash.near_duplicates(before).collect()}
         elif name == "benchmark_decontamination":
-            bad = decontam.decontaminate(before, spark.read.parquet(f"{DATA}/benchmark.parquet")).where("contaminated")
-            assert kept == ids - {r["doc_id"] for r in bad.collect()} and bad.count()
+            items = [x for x in (plain_words(t) for t in pd.read_parquet(f"{DATA}/benchmark.parquet").text) if x]
+            windows = {" ".join(x[k : k + 13]) for x in items for k in range(max(1, len(x) - 12))}
+            sizes = {len(x.split()) for x in windows}
+            holds = lambda x: any(" ".join(x[k : k + n]) in windows for n in sizes for k in range(len(x) - n + 1))
+            bad = {r["doc_id"] for r in before.collect() if holds(plain_words(r["text"]))}
+            assert kept == ids - bad and bad
         elif name == "secret_scan":
             assert kept == ids
             assert not any(secrets.rule_spans(r["text"]) for r in after.collect())
@@ -532,7 +575,7 @@ def test_pipeline_edge_cases(spark, tmp_path):
     assert ids.count(5) == 1 and 7 not in ids  # one row of each class stays
     assert ids.count(9) == 2 and ids.count(None) == 1  # different texts under one id, or none, all stay
     out = {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()}
-    assert out == set(ids) - {5}  # it holds a short item of the benchmark
+    assert out == set(ids) - {4, 5}  # they hold short items of the benchmark, one of them without an id
 
 
 def test_decontamination_judges_rows_not_ids(spark, tmp_path):
