@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.plans.staging import cut
+from quillgraph.plans.staging import cut, drop
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     return kept.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def connected_components(edges: DataFrame, src: str = "source", dst: str = "target", max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
     """Per node that has an edge: (node, component), the component being its least node.
 
     Edges with a null end are left out; self-loops keep their node as a component of its own.
@@ -38,8 +38,9 @@ def connected_components(edges: DataFrame, src: str = "source", dst: str = "targ
     loops = ends.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     e = cut(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     last = None
-    for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e).distinct()).distinct(), "components")
+    while True:  # every round but the last changes the stars, and there are finitely many
+        before, e = e, cut(_small_star(_large_star(e).distinct()).distinct(), "components")
+        drop(before)
         # a fixed point is told by an order-free digest of the edges
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == last or not now[0]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from quillgraph.plans.staging import cut
+from quillgraph.plans.staging import cut, drop
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, until: Callable[[DataFrame, DataFrame], bool] | None = None, every: int = 3, label: str = "loop") -> DataFrame:
@@ -15,11 +15,15 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], round
     The state is written to the shared folder every few rounds (each round, if there is a stop test, so
     that the test doesn't compute the round twice).
     """
+    written = None  # the last state in storage; what the caller gave is never deleted
     for k in range(rounds):
         new = step(state, k)
         if until is not None or (k + 1) % every == 0:
             new = cut(new, label)
-        if until is not None and until(state, new):
-            return new
+            if until is not None and until(state, new):
+                return new
+            if written is not None:
+                drop(written)
+            written = new
         state = new
     return state

@@ -2,11 +2,14 @@
 
 Long plans are cut by writing an intermediate table to the folder that the cluster names in
 ``spark.checkpoint.dir``.  Such a table survives the loss of any executor, and a later read starts
-from files, not from a long lineage.
+from files, not from a long lineage.  A session's tables stand in a folder of its own, which goes when the
+driver's process ends; ``drop`` removes single ones as soon as nothing reads them any more.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -33,12 +36,54 @@ def shared_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system the path names."""
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def _delete(jvm, conf, path: str) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+_run_dirs: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The session's own folder in shared storage; it is deleted at the end of the driver's process."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/{sc.applicationId}"
+    if path not in _run_dirs:
+        _run_dirs.add(path)
+        jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+
+        def forget() -> None:
+            with contextlib.suppress(Exception):  # the JVM may be gone before
+                _delete(jvm, conf, path)
+
+        atexit.register(forget)
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a read of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillgraph_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``cut`` returned; other frames are left alone.
+
+    Nothing that still has to be computed may read them.
+    """
+    for df in frames:
+        path = df.__dict__.pop("_quillgraph_path", None)
+        if path is not None:
+            remove(df.sparkSession, path)
 
 
 _shipped: set[str] = set()
