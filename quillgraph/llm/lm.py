@@ -8,9 +8,12 @@ training bigram is *deleted* from the counts before it is predicted from the res
 Counts are exact and cover the whole corpus, and no table of them is ever held in one place:
 
 1. Tasks turn documents into *blocks*: token numbers of a block-local vocabulary, in a table that is
-   bucketed by block in the warehouse, so that what comes back for a block joins it without moving it.
+   bucketed by block in the shared folder, so that what comes back for a block joins it without moving it.
 2. Each block asks for the counts of its distinct tokens; requests go to ranges of the token hash.
-   A range adds up what the blocks counted and answers every block.
+   A range adds up what the blocks counted and answers every block.  So that packed requests stay
+   large and their number grows with the corpus alone, at most ``FAN`` blocks ask the same range: with more
+   blocks, groups of ``FAN`` first merge what they ask for in one coarse range and ask as one, level by
+   level, and the answers come back the same way.
 3. The same for bigrams.  A request also says how often the bigram's two tokens occur, so that
    the range can put each deleted bigram into a histogram of bounded size, from which the weights
    are learned.
@@ -31,16 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import crc_fold, planes, unplanes
-from quillgraph.plans.staging import cut, ship_package
+from quillgraph.plans.staging import cut, drop, remove, run_dir, ship_package
 
 #: Tokens of a block (a longer document is a block of its own) and requests that a range receives.
 BLOCK_TOKENS, RANGE_KEYS = 700_000, 500_000
+#: Blocks, or groups of blocks, that ask the same range at most (about, at the first level: they are hashed).
+FAN = 512
 #: Steps an octave of counts in the histogram; rounds of expectation maximisation.
 STEPS, ROUNDS = 4, 40
 END, BEGIN = 0, 1  # local numbers of the end token and of the context before the first token
 _MARKS = (b" ", b"\t")  # no word holds white space
 
-BLOCKS_SCHEMA = "block string, doc_ids array<bigint>, held array<boolean>, sizes array<int>, ids binary, hashes binary, counts binary, n bigint, docs bigint"
+BLOCKS_SCHEMA = "block string, doc_ids array<{}>, held array<boolean>, sizes array<int>, ids binary, hashes binary, counts binary, n bigint, docs bigint"
 
 
 def tokens_of(raw: bytes) -> list[bytes]:
@@ -48,8 +53,8 @@ def tokens_of(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def make_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of documents as a table bucketed by block (see BLOCKS_SCHEMA)."""
+def make_blocks(docs: DataFrame) -> str:
+    """Blocks of documents as a table bucketed by block (see BLOCKS_SCHEMA); its name."""
     spark = docs.sparkSession
     ship_package(spark)
 
@@ -59,7 +64,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
         def fresh():
             return {m: k for k, m in enumerate(_MARKS)}
 
-        def flush():
+        def flush(kind):
             all_ids = np.concatenate(ids)
             learn = np.repeat(~np.array(held), sizes)
             counts = np.bincount(all_ids[learn], minlength=len(number)).astype("<u4")
@@ -67,7 +72,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([f"{TaskContext.get().partitionId()}-{made}"]),
-                    "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
+                    "doc_ids": pa.array([doc_ids], pa.list_(kind)),
                     "held": pa.array([held], pa.list_(pa.bool_())),
                     "sizes": pa.array([sizes], pa.list_(pa.int32())),
                     "ids": pa.array([planes(all_ids)], pa.binary()),
@@ -78,12 +83,13 @@ def make_blocks(docs: DataFrame) -> DataFrame:
                 }
             )
 
-        number, total = fresh(), 0
+        number, total, kind = fresh(), 0, None
         for b in batches:
+            kind = b.schema.field("doc_id").type
             for d, h, i in zip(b.column("doc_id").to_pylist(), b.column("held").to_pylist(), range(b.num_rows), strict=True):
                 words = tokens_of(b.column("text")[i].as_py() or b"")
                 if doc_ids and total + len(words) > BLOCK_TOKENS:
-                    yield flush()
+                    yield flush(kind)
                     made += 1
                     number, ids, doc_ids, held, sizes, total = fresh(), [], [], [], [], 0
                 own = number.setdefault
@@ -94,79 +100,126 @@ def make_blocks(docs: DataFrame) -> DataFrame:
                 sizes.append(len(x) + 1)
                 total += len(x) + 1
         if doc_ids:
-            yield flush()
+            yield flush(kind)
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), (crc_fold("doc_id", 10) == 0).alias("held"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = docs.select("doc_id", (crc_fold("doc_id", 10) == 0).alias("held"), F.col("text").cast("string").cast("binary").alias("text"))
     name = f"quillgraph_lm_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows.mapInArrow(run, BLOCKS_SCHEMA).write.bucketBy(buckets, "block").sortBy("block").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    rows.mapInArrow(run, BLOCKS_SCHEMA.format(rows.schema["doc_id"].dataType.simpleString())).write.bucketBy(buckets, "block").sortBy("block").format("parquet").option("path", f"{run_dir(spark)}/{name}").saveAsTable(name)
+    return name
 
 
 # --- requests and answers ----------------------------------------------------------------------
 
-REQUEST = "part int, block string, keys binary, counts binary, marks binary"
-ANSWER = "block string, part int, totals binary, seen bigint, hist binary"
+REQUEST = "part bigint, grp bigint, child string, keys binary, counts binary, marks binary"
+ANSWER = "child string, part bigint, totals binary, seen bigint, hist binary"
 
 
-def requests(block: str, keys: np.ndarray, counts: np.ndarray, marks: np.ndarray, parts: int) -> pa.Table:
-    """One row for each range of the (sorted, distinct) keys; marks: two bytes a key, or none."""
-    edges = np.searchsorted(keys, np.array([(k << 64) // parts for k in range(1, parts)], np.uint64))
+def levels_of(blocks: int, keys: int) -> list[tuple[int, int]]:
+    """For each level of the exchange: ranges that a unit asks, and ranges that there are in all."""
+    out, total = [], 1
+    while blocks > FAN:
+        total, blocks = total * FAN, -(-blocks // FAN)
+        out.append((FAN, total))
+    parts = -(-max(8, -(-keys // RANGE_KEYS)) // total)
+    return [*out, (parts, total * parts)]
+
+
+def requests(child: str, grp: int, keys: np.ndarray, counts: np.ndarray, marks: np.ndarray, low: int, parts: int, total: int) -> pa.Table:
+    """One row for each of the ``parts`` ranges from number ``low`` on (of ``total``) that has some of the
+    sorted, distinct keys; marks: two bytes a key, or none."""
+    edges = np.searchsorted(keys, np.array([(k << 64) // total for k in range(low + 1, low + parts)], np.uint64))
     cuts = [0, *edges.tolist(), len(keys)]
     rows = [(k, s, e) for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if s < e]
     return pa.table(
         {
-            "part": pa.array([k for k, _, _ in rows], pa.int32()),
-            "block": pa.array([block] * len(rows), pa.string()),
+            "part": pa.array([low + k for k, _, _ in rows], pa.int64()),
+            "grp": pa.array([grp] * len(rows), pa.int64()),
+            "child": pa.array([child] * len(rows), pa.string()),
             "keys": pa.array([planes(np.diff(keys[s:e], prepend=np.uint64(0))) for _, s, e in rows], pa.binary()),
-            "counts": pa.array([planes(counts[s:e].astype("<u4")) for _, s, e in rows], pa.binary()),
+            "counts": pa.array([planes(counts[s:e].astype("<u8")) for _, s, e in rows], pa.binary()),
             "marks": pa.array([planes(marks[s:e]) if len(marks) else b"" for _, s, e in rows], pa.binary()),
         }
     )
 
 
 def level(c: np.ndarray) -> np.ndarray:
-    """Counts as steps of their logarithm; 0 for none."""
-    return np.where(c > 0, np.round(np.log2(np.maximum(c, 1)) * STEPS) + 1, 0).astype(np.uint8)
+    """Counts as whole steps of their logarithm; 0 for none."""
+    return np.where(c > 0, np.floor(np.log2(np.maximum(c, 1)) * STEPS + 1e-9) + 1, 0).astype(np.uint8)
 
 
-def answered(group: pa.Table) -> pa.Table:
-    """Totals over all blocks of a range, for each block in the order of its keys."""
-    part = group.column("part")[0].as_py()
+def count_of(lev: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level (exact for counts below eight)."""
+    first = np.ceil(np.exp2((lev - 1) / STEPS) - 1e-9)
+    return (first + np.maximum(first, np.ceil(np.exp2(lev / STEPS) - 1e-9) - 1)) / 2
+
+
+def merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of all requests of a group: distinct keys, sums of their counts, marks, and where each request's
+    keys stand among them."""
     keys = [np.cumsum(unplanes(k, "<u8"), dtype=np.uint64) for k in group.column("keys").to_pylist()]
-    counts = [unplanes(c, "<u4") for c in group.column("counts").to_pylist()]
+    counts = [unplanes(c, "<u8") for c in group.column("counts").to_pylist()]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(at, weights=np.concatenate(counts), minlength=len(every)).astype(np.uint64)
-    marks, hist = group.column("marks").to_pylist(), b""
+    totals = np.zeros(len(every), np.int64)
+    np.add.at(totals, at, np.concatenate(counts).astype(np.int64))
+    marks = group.column("marks").to_pylist()
+    own = np.empty(0, "<u2")
     if marks[0]:
-        own = np.zeros((len(every), 2), np.uint8)
-        own[at] = np.concatenate([unplanes(m, "<u2") for m in marks]).view(np.uint8).reshape(-1, 2)
-        live = totals > 0
-        code = own[live, 0].astype(np.int64) << 16 | own[live, 1].astype(np.int64) << 8 | level(totals[live])
-        # deleting one leaves nothing of a bigram seen once: exact counts of 1 keep level 1
-        codes, inverse = np.unique(code, return_inverse=True)
-        hist = np.stack([codes, np.bincount(inverse, weights=totals[live]).astype(np.int64)]).tobytes()
+        own = np.zeros(len(every), "<u2")
+        own[at] = np.concatenate([unplanes(m, "<u2") for m in marks])
     spans = np.cumsum([0, *(len(k) for k in keys)])
-    small = [totals[at[s:e]] for s, e in zip(spans, spans[1:], strict=False)]
-    n = len(keys)
+    return every, totals, own, [at[s:e] for s, e in zip(spans, spans[1:], strict=False)]
+
+
+def answers(group: pa.Table, totals: np.ndarray, at: list[np.ndarray], seen: int = 0, hist: bytes = b"") -> pa.Table:
+    n = len(at)
     return pa.table(
         {
-            "block": group.column("block"),
-            "part": pa.array([part] * n, pa.int32()),
-            "totals": pa.array([planes(t.astype("<u8")) for t in small], pa.binary()),
-            "seen": pa.array([int((totals > 0).sum())] + [0] * (n - 1), pa.int64()),
+            "child": group.column("child"),
+            "part": group.column("part"),
+            "totals": pa.array([planes(totals[x].astype("<u8")) for x in at], pa.binary()),
+            "seen": pa.array([seen] + [0] * (n - 1), pa.int64()),
             "hist": pa.array([hist] + [b""] * (n - 1), pa.binary()),
         }
     )
 
 
-def exchange(asked: DataFrame) -> DataFrame:
-    """Answers to all requests, in shared storage."""
-    return cut(asked.groupBy("part").applyInArrow(answered, ANSWER), "lm-answers")
+def answered(group: pa.Table) -> pa.Table:
+    """Totals over all units that ask a range, for each in the order of its keys."""
+    _, totals, marks, at = merged(group)
+    live, hist = totals > 0, b""
+    if len(marks):
+        pair = marks[live].view(np.uint8).reshape(-1, 2).astype(np.int64)
+        codes, inverse = np.unique(pair[:, 0] << 16 | pair[:, 1] << 8 | level(totals[live]), return_inverse=True)
+        hist = np.stack([codes, np.bincount(inverse, weights=totals[live]).astype(np.int64)]).tobytes()
+    return answers(group, totals, at, int(live.sum()), hist)
 
 
-def by_block(answers: DataFrame, name: str) -> DataFrame:
-    return answers.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "totals"))), lambda x: x["totals"]).alias(name))
+def exchange(asked: DataFrame, levels: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """Answers to all requests, and those of the last level (with its histograms), in shared storage."""
+    if len(levels) == 1:
+        out = cut(asked.groupBy("part").applyInArrow(answered, ANSWER), "lm-answers")
+        return out, out
+    asked = cut(asked, "lm-asked")
+    parts, total = levels[1]
+
+    def up(group: pa.Table) -> pa.Table:
+        part, grp = group.column("part")[0].as_py(), group.column("grp")[0].as_py()
+        keys, counts, marks, _ = merged(group)
+        return requests(f"{part}/{grp}", grp // FAN, keys, counts, marks, part * parts, parts, total)
+
+    def down(group: pa.Table, found: pa.Table) -> pa.Table:
+        return answers(group, _totals(found.column("up")[0].as_py()), merged(group)[3])
+
+    upper, top = exchange(asked.groupBy("part", "grp").applyInArrow(up, REQUEST), levels[1:])
+    units = asked.withColumn("unit", F.concat_ws("/", "part", "grp")).groupBy("unit")
+    out = cut(units.cogroup(by_child(upper, "up").groupBy("child")).applyInArrow(lambda a, b: down(a.drop_columns(["unit"]), b), ANSWER), "lm-answers")
+    drop(asked, *([] if upper is top else [upper]))
+    return out, top
+
+
+def by_child(found: DataFrame, name: str) -> DataFrame:
+    return found.groupBy("child").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "totals"))), lambda x: x["totals"]).alias(name))
 
 
 def _totals(parts: list[bytes]) -> np.ndarray:
@@ -205,11 +258,10 @@ def learn_weights(hist: np.ndarray, n: int, v: int) -> np.ndarray:
     weights = np.tile([1.0, 0.0, 0.0], (65, 1))
     if not len(hist):
         return weights
-    count = lambda lev: np.maximum(np.exp2((lev - 1) / STEPS), 1.0)
-    cv, cw, cvw = count(hist[:, 0]), count(hist[:, 1]), count(hist[:, 2])
+    cv, cw, cvw = count_of(hist[:, 0]), count_of(hist[:, 1]), count_of(hist[:, 2])
     cvw = np.minimum(cvw, np.minimum(cv, cw))
     p = np.stack([np.full(len(hist), 1 / (v + 1)), (cw - 1) / max(n - 1, 1), np.where(cv > 1, (cvw - 1) / np.maximum(cv - 1, 1), 0)], 1)
-    bucket, mass = np.floor(np.log2(cv) + 1e-9).astype(int) + 1, hist[:, 3].astype(float)
+    bucket, mass = (hist[:, 0].astype(int) - 1) // STEPS + 1, hist[:, 3].astype(float)
 
     def em(q: np.ndarray, m: np.ndarray) -> np.ndarray:
         w = np.full(q.shape[1], 1 / q.shape[1])
@@ -238,21 +290,27 @@ def score(docs: DataFrame) -> DataFrame:
     token only.  Repeated rows stay and count as often as they occur; without a row to learn from all
     scores are 0; an empty table gives an empty result.  Other columns are not read.
     """
-    blocks = make_blocks(docs)
-    size = blocks.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens")).first()
+    spark = docs.sparkSession
+    table = make_blocks(docs)
+    blocks = spark.table(table)
+    size = blocks.agg(F.count("*").alias("blocks"), F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens")).first()
     docs_learned = size["docs"] or 0
-    ranges = lambda n: max(8, -(-(n or 0) // RANGE_KEYS))
-    token_parts, pair_parts = ranges(size["n"]), ranges(size["tokens"])
+    groups = -(-max(size["blocks"], 1) // FAN)
+    token_levels, pair_levels = levels_of(size["blocks"], size["n"] or 0), levels_of(size["blocks"], size["tokens"] or 0)
+
+    def ask(block: str, keys: np.ndarray, counts: np.ndarray, marks: np.ndarray, levels: list[tuple[int, int]]) -> pa.Table:
+        return requests(block, xxhash.xxh64_intdigest(block) % groups, keys, counts, marks, 0, *levels[0])
 
     def ask_tokens(batches):
         for b in batches:
             for row in b.to_pylist():
                 hashes, counts = np.frombuffer(row["hashes"], "<u8"), unplanes(row["counts"], "<u4")
                 order = np.argsort(hashes)
-                yield from requests(row["block"], hashes[order], counts[order], np.empty((0, 2), np.uint8), token_parts).to_batches()
+                yield from ask(row["block"], hashes[order], counts[order], np.empty(0, "<u2"), token_levels).to_batches()
 
-    tokens = exchange(blocks.select("block", "hashes", "counts").mapInArrow(ask_tokens, REQUEST))
-    v = tokens.agg(F.sum("seen")).first()[0] or 0
+    tokens, token_tops = exchange(blocks.select("block", "hashes", "counts").mapInArrow(ask_tokens, REQUEST), token_levels)
+    v = token_tops.agg(F.sum("seen")).first()[0] or 0
+    by_block = lambda found, name: by_child(found, name).withColumnRenamed("child", "block")
     with_tokens = blocks.join(by_block(tokens, "tokens"), "block")
 
     def ask_pairs(group: pa.Table) -> pa.Table:
@@ -265,9 +323,9 @@ def score(docs: DataFrame) -> DataFrame:
         keys, first, at = np.unique(key, return_index=True, return_inverse=True)
         own = np.bincount(at, weights=np.repeat(~held, sizes), minlength=len(keys))
         marks = np.stack([level(context[before[first]]), level(count[ids[first]])], 1)
-        return requests(row["block"], keys, own, np.ascontiguousarray(marks).view("<u2").ravel(), pair_parts)
+        return ask(row["block"], keys, own, np.ascontiguousarray(marks).view("<u2").ravel(), pair_levels)
 
-    pairs = exchange(with_tokens.select("block", "held", "sizes", "ids", "hashes", "tokens").groupBy("block").applyInArrow(ask_pairs, REQUEST))
+    pairs, pair_tops = exchange(with_tokens.select("block", "held", "sizes", "ids", "hashes", "tokens").groupBy("block").applyInArrow(ask_pairs, REQUEST), pair_levels)
 
     def spread(batches):
         for b in batches:
@@ -275,11 +333,13 @@ def score(docs: DataFrame) -> DataFrame:
                 codes, n = np.frombuffer(h, np.int64).reshape(2, -1)
                 yield pa.RecordBatch.from_pydict({"code": pa.array(codes), "n": pa.array(n)})
 
-    hist = pairs.where(F.length("hist") > 0).select("hist").mapInArrow(spread, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    hist = pair_tops.where(F.length("hist") > 0).select("hist").mapInArrow(spread, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     code, mass = hist.column("code").to_numpy(), hist.column("n").to_numpy()
     n = int(mass.sum())
     weights = learn_weights(np.stack([code >> 16, code >> 8 & 255, code & 255, mass], 1) if len(code) else np.empty((0, 4)), n, v)
 
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+
     def score_block(group: pa.Table) -> pa.Table:
         row = group.to_pylist()[0]
         hashes, ids, sizes, held = _block(row)
@@ -296,7 +356,7 @@ def score(docs: DataFrame) -> DataFrame:
         total = lambda x: np.bincount(doc, weights=x, minlength=len(sizes))
         return pa.table(
             {
-                "doc_id": pa.array(row["doc_ids"], pa.int64()),
+                "doc_id": group.column("doc_ids").combine_chunks().flatten(),
                 "held_out": pa.array(held),
                 "n_tokens": pa.array(sizes),
                 "n_known": pa.array(total(c > 0).astype(np.int64)),
@@ -307,7 +367,11 @@ def score(docs: DataFrame) -> DataFrame:
         )
 
     joined = blocks.select("block", "doc_ids", "held", "sizes", "ids", "hashes").join(by_block(tokens, "tokens"), "block").join(by_block(pairs, "pairs"), "block")
-    return joined.groupBy("block").applyInArrow(score_block, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = cut(joined.groupBy("block").applyInArrow(score_block, f"doc_id {id_kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"), "lm-scores")
+    drop(tokens, token_tops, pairs, pair_tops)
+    spark.sql(f"DROP TABLE {table}")
+    remove(spark, f"{run_dir(spark)}/{table}")
+    return out
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -248,8 +248,12 @@ def test_languages_on_held_out_documents(spark, pdf):
     assert found.score.between(0, 1).all()
 
 
-def test_interpolation_matches_plain_counts(spark, docs, pdf, monkeypatch):
+@pytest.mark.parametrize("fan", [512, 3])
+def test_interpolation_matches_plain_counts(spark, docs, pdf, monkeypatch, fan):
+    """With a small fan the blocks' requests meet level by level, three levels deep."""
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 3000)
+    monkeypatch.setattr(lm, "FAN", fan)
+    assert len(lm.levels_of(20, 1000)) == (1 if fan == 512 else 3)
     seen = {}
     monkeypatch.setattr(lm, "learn_weights", lambda *a, f=lm.learn_weights: seen.setdefault("w", f(*a)))
     got = lm.score(docs).toPandas().set_index("doc_id")
@@ -275,6 +279,34 @@ def test_interpolation_matches_plain_counts(spark, docs, pdf, monkeypatch):
     out = got[got.held_out]
     assert out.score.sum() > out.base_score.sum()
     assert np.allclose(seen["w"].sum(1), 1)
+    # the same by expectation maximisation on exact counts of each deleted bigram
+    rows = [(ctx[a], c[b], k, k) for (a, b), k in pair.items()]
+    cv, cw, cvw, mass = np.array(rows, float).T
+    p = np.stack([np.full(len(rows), 1 / (v + 1)), (cw - 1) / (n - 1), np.where(cv > 1, (cvw - 1) / np.maximum(cv - 1, 1), 0)], 1)
+    bucket = np.floor(np.log2(cv) + 1e-9).astype(int) + 1
+    for b in np.unique(bucket):
+        q, m, w = p[bucket == b], mass[bucket == b], np.full(3, 1 / 3)
+        for _ in range(lm.ROUNDS):
+            post = q * w
+            post /= post.sum(1, keepdims=True)
+            w = np.maximum((post * m[:, None]).sum(0) / m.sum(), 1e-6)
+            w /= w.sum()
+        assert np.abs(w - seen["w"][b]).max() < 0.02
+
+
+def test_nothing_stays_in_the_catalog(spark, docs):
+    lm.score(docs.limit(5)).collect()
+    assert not [t for t in spark.catalog.listTables() if "quillgraph" in t.name]
+
+
+def test_requests_grow_with_the_corpus():
+    """At any size a unit asks a bounded number of ranges, and a range gets a bounded number of units."""
+    for blocks in (1, 500, 600, 10**5, 10**8):
+        levels, units = lm.levels_of(blocks, blocks * lm.BLOCK_TOKENS), blocks
+        assert all(parts <= 2 * lm.FAN for parts, _ in levels)
+        for _ in levels[1:]:
+            units = -(-units // lm.FAN)
+        assert units <= lm.FAN
 
 
 # --- BPE ---
