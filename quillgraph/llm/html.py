@@ -13,6 +13,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import map_batches, text_bytes
 
 #: Labelled pages that the weights are learned from, and rounds of gradient ascent.
-PAGES, ROUNDS = 160, 60
+PAGES, ROUNDS = 240, 60
 
 # Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "title", "textarea", "select", "math", "canvas", "audio", "video")
+RAW = ("script", "style", "template", "iframe", "title", "textarea", "select")
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body caption html tbody td tfoot th thead tr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
@@ -35,15 +36,19 @@ SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr":
 GOOD = "article blog body content entry hentry main page post prose story text".split()
 BAD = "ad ads advert advertisement banner bottom breadcrumb comment comments consent cookie disqus footer form header hidden menu meta modal nav navbar newsletter notice pagination popup promo recommended related reply respond share sidebar signup social sponsor sponsored subscribe tags toolbar top widget".split()
 
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.DOTALL)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+#: The rest of a tag: a quote means something after an equals sign only.  Nothing is tried twice.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|(?!["'])))*+>""")
+_RAW_END = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in RAW}
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 _LABEL = re.compile(r"data-content=\"(\d)\"")
+_RIGHTS = re.compile(r"©|\(c\) |copyright|all rights", re.IGNORECASE)
 _END = re.compile(r"[.!?…:;](?:\s|$)")
 
-NAMES = ["bias", *(f"tag:{t}" for t in "article main p h heading-first li list blockquote pre table div section nav header footer aside form body other".split()), *(f"good:{g}" for g in GOOD), *(f"bad:{b}" for b in BAD), "under-bad", "under-good", "under-article", "long", "longer", "links", "all-links", "sentences", "none", "list-of-links", "short", "hidden"]
+NAMES = ["bias", *(f"tag:{t}" for t in "article main p h heading-first li list blockquote pre table div section nav header footer aside form body other".split()), *(f"good:{g}" for g in GOOD), *(f"bad:{b}" for b in BAD), "under-bad", "under-good", "under-article", "marked-elsewhere", "no-marks", "no-marks-prose", "no-marks-links", "no-marks-first", "no-marks-last", "no-marks-deep", "copyright", "long", "longer", "links", "all-links", "sentences", "none", "list-of-links", "short", "hidden"]
 _AT = {n: i for i, n in enumerate(NAMES)}
-_KIND = {"article": "article", "main": "main", "p": "p", "li": "li", "dd": "li", "dt": "li", "ul": "list", "ol": "list", "dl": "list", "menu": "nav", "blockquote": "blockquote", "pre": "pre", "table": "table", "tbody": "table", "tr": "table", "td": "table", "th": "table", "div": "div", "section": "section", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "dialog": "aside", "body": "body", "html": "body"} | {f"h{k}": "h" for k in range(1, 7)}
+_KIND = {"article": "article", "main": "main", "p": "p", "#text": "p", "li": "li", "dd": "li", "dt": "li", "ul": "list", "ol": "list", "dl": "list", "menu": "nav", "blockquote": "blockquote", "pre": "pre", "table": "table", "tbody": "table", "tr": "table", "td": "table", "th": "table", "div": "div", "section": "section", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "dialog": "aside", "body": "body", "html": "body"} | {f"h{k}": "h" for k in range(1, 7)}
 
 
 @dataclass
@@ -57,6 +62,7 @@ class Node:
     linked: int = 0
     ends: int = 0
     children: int = 0
+    rights: bool = False  # a notice of copyright stands in its own text
 
 
 @dataclass
@@ -67,12 +73,60 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
+def markup(source: str):
+    """(text before, tag name, is an end, attributes) in page order, in time proportional to the page.
+
+    Comments and declarations are left out, CDATA is text.  A tag whose quotes don't close before the page
+    ends has no quotes; from there on no tag has.
+    """
+    at, n, quotes, kept = 0, len(source), True, 0
+    while True:
+        at = source.find("<", at)
+        if at < 0 or at + 1 >= n:
+            yield source[kept:], None, False, ""
+            return
+        c = source[at + 1]
+        if c in "!?":
+            before = source[kept:at]
+            if source.startswith("<!--", at):
+                end, skip = source.find("-->", at + 4), 3
+            elif source.startswith("<![CDATA[", at):
+                end, skip = source.find("]]>", at + 9), 3
+                before += source[at + 9 : n if end < 0 else end].replace("&", "&amp;")
+            else:
+                end, skip = source.find(">", at), 1
+            at = kept = n if end < 0 else end + skip
+            yield before, None, False, ""
+            continue
+        m = _NAME.match(source, at + 1)
+        if m is None:
+            at += 1
+            continue
+        rest = _REST.match(source, m.end()) if quotes else None
+        if rest is None:
+            quotes = False
+            end = source.find(">", m.end())
+            if end < 0:  # no tag ends any more
+                yield source[kept:], None, False, ""
+                return
+            end += 1
+        else:
+            end = rest.end()
+        name = m[0].lower()
+        yield source[kept:at], name.lstrip("/"), name[0] == "/", source[m.end() : end - 1]
+        at = kept = end
+        if name in _RAW_END and source[end - 2] != "/":
+            closing = _RAW_END[name].search(source, end)
+            at = kept = closing.end() if closing else n
+
+
 def parse(source: str) -> Page:
     """Blocks and text of a page; markup that is not closed, or closed twice, is borne with."""
     page = Page([Node("html", -1)])
     nodes, stack = page.nodes, [("html", 0)]  # open elements and the block that each belongs to
+    blocks, is_open = [0], Counter()  # places of blocks in the stack; open elements by name
     text: list[str] = []
-    held, links, at, n = 0, 0, 0, len(source)
+    held, links = 0, 0
 
     def flush(block: int) -> None:
         nonlocal held
@@ -80,11 +134,16 @@ def parse(source: str) -> Page:
             run = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if run:
+                if nodes[block].tag in ("html", "body"):  # text in no block is a block of its own
+                    nodes[block].children += 1
+                    nodes.append(Node("#text", block, label=nodes[block].label))
+                    block = len(nodes) - 1
                 page.runs.append((block, run))
                 node = nodes[block]
                 node.chars += len(run)
                 node.linked += min(held, len(run))
                 node.ends += len(_END.findall(run))
+                node.rights = node.rights or _RIGHTS.search(run) is not None
         held = 0
 
     def add(s: str) -> None:
@@ -93,36 +152,31 @@ def parse(source: str) -> Page:
         if links:
             held += len(s)
 
-    while at < n:
-        m = _TAG.search(source, at)
-        if m is None:
-            add(source[at:])
-            break
-        if m.start() > at:
-            add(source[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+    def close(k: int) -> None:
+        """Close the open elements from place k on."""
+        nonlocal links
+        for t, _ in stack[k:]:
+            is_open[t] -= 1
+            links -= t == "a"
+        del stack[k:]
+        while blocks[-1] >= k:
+            blocks.pop()
+
+    for before, name, ends, attributes in markup(source):
+        if before:
+            add(before)
+        if name is None or name in RAW:
             continue
-        name = name.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if any(t in BLOCK for t, _ in stack[k:]):
-                        flush(stack[-1][1])
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-            else:
-                if name in BLOCK:  # as browsers do, an end without a start still ends the line
+        if ends:
+            if is_open[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                if blocks[-1] >= k:
                     flush(stack[-1][1])
-            continue
-        if name in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else n
+                close(k)
+            elif name in BLOCK:  # as browsers do, an end without a start still ends the line
+                flush(stack[-1][1])
             continue
         if name in VOID:
             if name == "hr":
@@ -130,34 +184,34 @@ def parse(source: str) -> Page:
             else:
                 add(" " if name in ("br", "wbr", "img", "input") else "")
             continue
-        if name == "html" or name == "head" or (name == "body" and any(t == "body" for t, _ in stack)):
+        if name == "html" or name == "head" or (name == "body" and is_open["body"]):
             continue
         closed = CLOSES.get(name, ())
         if name in CLOSES_P:
             closed = (*closed, "p")
-        if closed:
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t in closed:
-                    flush(stack[-1][1])
-                    links -= sum(x == "a" for x, _ in stack[k:])
-                    del stack[k:]
-                    if t == "p":
-                        continue
-                elif t in SCOPE.get(name, ()) or (t in BLOCK and name not in SCOPE):
-                    break
+        place = len(blocks) - 1  # only blocks are ever closed by a start
+        while place > 0 and any(is_open[t] for t in closed):
+            t = stack[blocks[place]][0]
+            if t in closed:
+                flush(stack[-1][1])
+                close(blocks[place])
+            elif t in SCOPE.get(name, ()) or name not in SCOPE:
+                break
+            place -= 1
         block = stack[-1][1]
         if name in BLOCK:
             flush(block)
-            own = m[3].lower()
-            marks = frozenset(p for x in _MARK.findall(m[3]) for p in _PART.findall("".join(x).lower())) if "=" in own else frozenset()
-            label = _LABEL.search(m[3])
+            own = attributes.lower()
+            marks = frozenset(p for x in _MARK.findall(attributes) for p in _PART.findall("".join(x).lower())) if "=" in own else frozenset()
+            label = _LABEL.search(attributes)
             nodes.append(Node(name, block, marks, "hidden" in own or "display:none" in own.replace(" ", ""), int(label[1]) if label else nodes[block].label))
             nodes[block].children += 1
             block = len(nodes) - 1
+            blocks.append(len(stack))
         elif name == "a":
             links += 1
         stack.append((name, block))
+        is_open[name] += 1
     flush(stack[-1][1])
     for k in range(len(nodes) - 1, 0, -1):  # children hand their sums to their parents
         node, up = nodes[k], nodes[nodes[k].parent]
@@ -172,9 +226,16 @@ _BOILER = frozenset(("nav", "header", "footer", "aside", "form"))
 
 
 def features(page: Page) -> list[list[tuple[int, float]]]:
-    """Sparse features of each node."""
-    out, above, first = [], [], True
-    for node in page.nodes:
+    """Sparse features of each node.
+
+    A page that marks its content nowhere (no article or main element, no telling class or id) is told by
+    the look of its blocks: prose or links, first or last, depth.
+    """
+    out, above, first, depth = [], [], True, []
+    marked = any(k.tag in ("article", "main") or (k.marks & _GOOD and not k.marks & _BAD and k.tag not in _BOILER and k.tag != "body") for k in page.nodes)
+    count = len(page.nodes)
+    for at, node in enumerate(page.nodes):
+        depth.append(depth[node.parent] + 1 if node.parent >= 0 else 0)
         under_bad, under_good, in_article = above[node.parent] if node.parent >= 0 else (0, 0, 0)
         kind = _KIND.get(node.tag, "other")
         own = [(0, 1.0), (_AT[f"tag:{kind}"], 1.0)]
@@ -191,6 +252,10 @@ def features(page: Page) -> list[list[tuple[int, float]]]:
             own.append((_AT["under-article"], 1.0))
         if node.hidden:
             own.append((_AT["hidden"], 1.0))
+        if node.rights:
+            own.append((_AT["copyright"], 1.0))
+        if marked and not (under_good or in_article or good or kind in ("article", "main")):
+            own.append((_AT["marked-elsewhere"], 1.0))
         n, density = node.chars, node.linked / node.chars if node.chars else 0.0
         if not n:
             own.append((_AT["none"], 1.0))
@@ -202,11 +267,24 @@ def features(page: Page) -> list[list[tuple[int, float]]]:
                     own.append((_AT["list-of-links"], 1.0))
             if n < 30:
                 own.append((_AT["short"], 1.0))
+            if not marked:
+                own += [(_AT["no-marks"], 1.0), (_AT["no-marks-links"], density), (_AT["no-marks-deep"], min(depth[at], 8) / 8)]
+                if node.ends and density < 0.3:
+                    own.append((_AT["no-marks-prose"], min(math.log2(1 + n), 10) / 10))
+                if at < 0.15 * count:
+                    own.append((_AT["no-marks-first"], 1.0))
+                if at > 0.9 * count:
+                    own.append((_AT["no-marks-last"], 1.0))
         out.append(own)
         above.append((under_bad or bool(bad and not good) or kind in _BOILER or node.hidden, under_good or bool(good and not bad), in_article or kind in ("article", "main")))
     return out
 
 
+def _log_add(a: float, b: float) -> float:
+    """The logarithm of exp(a) + exp(b)."""
+    return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
+
+
 @dataclass
 class Model:
     """Weights of the features for "content", and the log potential of (parent, child) states."""
@@ -222,20 +300,21 @@ class Model:
         """P(content) of each node, and joint marginals [00, 01, 10, 11] with its parent (root: none)."""
         nodes = page.nodes
         belief, up = self.unary(page), [0.0] * len(nodes)
-        p00, p01, p10, p11 = np.exp(self.pair).ravel().tolist()
+        l00, l01, l10, l11 = self.pair.ravel().tolist()
         for k in range(len(nodes) - 1, 0, -1):
-            e = math.exp(max(-30.0, min(30.0, belief[k])))
-            up[k] = math.log((p11 * e + p10) / (p01 * e + p00))
+            e = belief[k]
+            up[k] = _log_add(l11 + e, l10) - _log_add(l01 + e, l00)
             belief[nodes[k].parent] += up[k]
         joint = [[]]
         for k in range(1, len(nodes)):
-            rest = math.exp(max(-30.0, min(30.0, belief[nodes[k].parent] - up[k])))  # the parent without this child
-            own = math.exp(max(-30.0, min(30.0, belief[k])))
-            belief[k] += math.log((p11 * rest + p01) / (p10 * rest + p00))
-            j = [p00, p01 * own, p10 * rest, p11 * rest * own]
+            rest, own = belief[nodes[k].parent] - up[k], belief[k]  # the parent without this child
+            belief[k] += _log_add(l11 + rest, l01) - _log_add(l10 + rest, l00)
+            j = [l00, l01 + own, l10 + rest, l11 + rest + own]
+            top = max(j)
+            j = [math.exp(x - top) for x in j]
             z = sum(j)
             joint.append([x / z for x in j])
-        return [1 / (1 + math.exp(-max(-40.0, min(40.0, b)))) for b in belief], joint
+        return [1 / (1 + math.exp(-b)) if b > -700 else 0.0 for b in belief], joint
 
     def text(self, source: str) -> str:
         page = parse(source)
@@ -244,7 +323,10 @@ class Model:
 
 
 def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
-    """Pages of many layouts; the attribute data-content says which blocks are content."""
+    """Pages of many layouts; the attribute data-content says which blocks are content.
+
+    A third of them mark their content with no element, class or id that the features know.
+    """
     rng = random.Random(seed)
     words = ["".join(rng.choices(["ta", "re", "no", "mi", "lo", "se", "ka", "du"], k=rng.randint(1, 4))) for _ in range(400)]
     say = lambda a, b: " ".join(rng.choices(words, k=rng.randint(a, b))).capitalize() + rng.choice([".", ".", ".", "!", "?", ""])
@@ -252,8 +334,36 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
     links = lambda k: "<ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in rng.choices(words, k=k)) + "</ul>"
     maybe = lambda p, s: s() if rng.random() < p else ""
 
+    plain_class = lambda: rng.choice(["", "", f' class="{rng.choice(["wrap", "box", "col-left", "inner", "x1 s12", "container", "row", "layout"])}"', f' id="{rng.choice(words)}"'])
+
+    def unmarked() -> str:
+        own = content()
+        put = rng.choice(["div", "div", "deep", "cell", "none", "none"])
+        if put == "none":  # straight in the body: each block says for itself what it is
+            depth, out = 0, []
+            for piece in re.split(r"(<[^>]*>)", own):
+                if re.match(r"<(?!/|b>|br>|input|a )[a-z]", piece):
+                    if not depth and "data-content" not in piece:
+                        piece = piece[:-1] + ' data-content="1">'
+                    depth += not re.match(r"<p[ >]", piece)
+                elif re.match(r"</(?!b>|a>|p>)", piece):
+                    depth -= 1
+                out.append(piece)
+            main = "".join(out)
+        else:
+            open_, close_ = {"div": (f"<div{plain_class()}>", "</div>"), "deep": (f"<div{plain_class()}><div{plain_class()}><div>", "</div></div></div>"), "cell": ("<table><tr><td>", "</td></tr></table>")}[put]
+            at = open_.rindex(">")
+            main = open_[:at] + ' data-content="1">' + own + close_
+        around = [
+            maybe(0.5, lambda: rng.choice([f"<div{plain_class()}>{links(rng.randint(3, 8))}</div>", links(rng.randint(2, 6)), "<p>" + " | ".join(f'<a href="/{w}">{w}</a>' for w in rng.choices(words, k=rng.randint(3, 6))) + "</p>"])),
+            main,
+            maybe(0.2, lambda: f"<div{plain_class()}>{links(rng.randint(3, 8))}</div>"),
+            maybe(0.5, lambda: rng.choice([f"<p>&copy; {rng.randint(1995, 2030)} {say(1, 8)}</p>", f"<div{plain_class()}>Copyright {say(1, 6)}{links(2)}</div>", f"<div{plain_class()}><p>(c) {say(2, 10)} All rights reserved.</p></div>"])),
+        ]
+        return "".join(around)
+
     def content() -> str:
-        out = [f"<h1>{say(2, 9)}</h1>"]
+        out = [f"<h1>{say(2, 9)}</h1>"] if rng.random() < 0.85 else []
         for _ in range(rng.randint(1, 12)):
             out.append(
                 rng.choices(
@@ -285,7 +395,10 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
         return f'<{(s := rng.choice(["section", "div", "ol"]))} {rng.choice(["id", "class"])}="{rng.choice(["comments", "comment list", "respond", "disqus comments"])}" data-content="0"><h2>{say(1, 2)}</h2>' + "".join(each() for _ in range(rng.randint(1, 5))) + f"</{s}>"
 
     out = []
-    for _ in range(n):
+    for k in range(n):
+        if k % 3 == 2:
+            out.append(f'<html><head><title>{say(2, 5)}</title></head><body data-content="0">{unmarked()}</body></html>')
+            continue
         head, tail = rng.choice([("<article>", "</article>")] * 4 + [("<main><article>", "</article></main>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="post" class="entry">', "</div>"), ('<div id="main"><div class="article body">', "</div></div>"), ('<section class="story">', "</section>")])
         head = re.sub(r">", ' data-content="1">', head)
         inner = content()

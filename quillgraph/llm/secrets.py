@@ -12,9 +12,7 @@ scored.  A rule's finding always stays; the network adds candidates that no rule
 
 from __future__ import annotations
 
-import bisect
 import hashlib
-import itertools
 import random
 import re
 import string
@@ -50,6 +48,8 @@ LEFT, RIGHT, RECALL = 24, 8, 0.98
 #: Characters of the longest finding that the network learns from (it scores findings of any length).
 LONGEST_LEARNED = 1000
 EMBED, WIDTH, FILTERS, EPOCHS = 12, 5, 24, 8
+#: Characters of a candidate that are convolved at once; a longer one goes slice by slice.
+SLICE = 1 << 14
 REDACTED = "[SECRET]"
 
 Span = tuple[int, int, str]
@@ -66,16 +66,27 @@ def rule_spans(text: str) -> list[Span]:
 
 def other_candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Assigned values, then unusual tokens, that overlap no finding of a rule nor one another."""
-    own, base_spans = [], [(s, e) for s, e, _ in base]
-    for m, g in itertools.chain(((m, 1) for m in VALUE.finditer(text)), ((m, 0) for m in CANDIDATE.finditer(text) if _MIXED.match(m[0]))):
-        s, e = m.span(g)
-        if any(x < e and s < y for x, y in base_spans):
-            continue
-        at = bisect.bisect_left(own, (s, e))
-        if any(x < e and s < y for x, y in own[max(0, at - 1) : at + 1]):
-            continue
-        own.insert(at, (s, e))
-    return own
+    # findings of rules may overlap one another: joined into runs, one of them at most can hold a place
+    runs: list[list[int]] = []
+    for s, e, _ in base:
+        if runs and s < runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    values = _apart([m.span(1) for m in VALUE.finditer(text)], runs)
+    tokens = _apart([m.span() for m in CANDIDATE.finditer(text) if _MIXED.match(m[0])], runs)
+    return sorted([*values, *_apart(tokens, values)])
+
+
+def _apart(spans: list[tuple[int, int]], taken: list) -> list[tuple[int, int]]:
+    """The spans that overlap none of ``taken``; both are ascending and apart among themselves."""
+    out, k = [], 0
+    for s, e in spans:
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        if k == len(taken) or e <= taken[k][0]:
+            out.append((s, e))
+    return out
 
 
 def characters(text: str, start: int, end: int, context: bool = True) -> list[int]:
@@ -86,7 +97,8 @@ def characters(text: str, start: int, end: int, context: bool = True) -> list[in
 
 
 def _padded(rows: list[list[int]]) -> np.ndarray:
-    width = max(WIDTH, *(len(r) for r in rows)) if rows else WIDTH
+    """Rows of one length; a window starts at each character, and zeros stand behind the last one."""
+    width = WIDTH - 1 + max((len(r) for r in rows), default=1)
     out = np.zeros((len(rows), width), np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
@@ -116,6 +128,8 @@ class Network:
         n, t, _ = e.shape
         windows = np.lib.stride_tricks.sliding_window_view(e, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(n, t - WIDTH + 1, WIDTH * EMBED)
         h = windows @ self.conv + self.bias
+        # what a row's neighbours in the batch add to its padding tells nothing
+        h = np.where((np.arange(h.shape[1]) < np.maximum((x > 0).sum(1), 1)[:, None])[:, :, None], h, -np.inf)
         at = h.argmax(axis=1)
         top = np.maximum(np.take_along_axis(h, at[:, None], 1)[:, 0], 0)
         return top @ self.out + self.out_bias, top, at, windows
@@ -124,6 +138,9 @@ class Network:
         """Of any number of candidates of any length, in batches of bounded size."""
         out = np.zeros(len(rows))
         order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
+        while order and len(rows[order[-1]]) > SLICE:
+            i = order.pop()
+            out[i] = self._long(rows[i])
         s = 0
         while s < len(order):
             e = s + 1
@@ -133,14 +150,23 @@ class Network:
             s = e
         return out
 
+    def _long(self, row: list[int]) -> float:
+        """The logit of a long candidate: maxima of slices that overlap by a window less one."""
+        best = np.zeros(FILTERS)
+        for s in range(0, len(row), SLICE):
+            part = row[s : s + SLICE + WIDTH - 1]
+            part = part + [0] * (min(SLICE, len(row) - s) + WIDTH - 1 - len(part))
+            best = np.maximum(best, self.forward(np.array([part]))[1][0])
+        return float(best @ self.out + self.out_bias)
+
     def probability(self, rows: list[list[int]]) -> np.ndarray:
         a, b = self.scale
         return 1 / (1 + np.exp(-np.clip(a * self.logits(rows) + b, -40, 40)))
 
-    def step(self, x: np.ndarray, y: np.ndarray, moments: dict, t: int, rate: float) -> None:
-        """One step of Adam on the logistic loss."""
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Of the mean logistic loss: by weight array, and of the last bias."""
         z, top, at, windows = self.forward(x)
-        d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y).astype(np.float32) / len(y)
+        d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y).astype(self.out.dtype) / len(y)
         d_top = d[:, None] * self.out * (top > 0)
         taken = np.take_along_axis(windows, at[:, :, None], 1)  # n, filters, window
         grads = {"out": top.T @ d, "bias": d_top.sum(0), "conv": np.einsum("nf,nfw->wf", d_top, taken)}
@@ -149,8 +175,12 @@ class Network:
         g = np.zeros_like(self.embed)
         np.add.at(g, where.ravel(), d_e.reshape(-1, EMBED))
         g[0] = 0
-        grads["embed"] = g
-        self.out_bias -= rate * float(d.sum())
+        return grads | {"embed": g}, float(d.sum())
+
+    def step(self, x: np.ndarray, y: np.ndarray, moments: dict, t: int, rate: float) -> None:
+        """One step of Adam on the logistic loss."""
+        grads, bias = self.gradients(x, y)
+        self.out_bias -= rate * bias
         for k, g in grads.items():
             m, v = moments.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -159,13 +189,19 @@ class Network:
 
 
 def fit(secrets: list[list[int]], others: list[list[int]], recall: float = RECALL, seed: int = 7) -> Network | None:
-    """Train, calibrate and choose the threshold; None if either label has fewer than ten findings."""
+    """Train, calibrate and choose the threshold; None if either label has fewer than ten findings.
+
+    Findings of the same characters, with whatever stands around them, are held out together.
+    """
     if min(len(secrets), len(others)) < 10:
         return None
     rng = np.random.default_rng(seed)
     rows, y = [*secrets, *others], np.array([1] * len(secrets) + [0] * len(others))
+    number: dict[tuple, int] = {}
+    own = np.array([number.setdefault(tuple(r[r.index(1) : r.index(2)]) if 1 in r and 2 in r else tuple(r), len(number)) for r in rows])
     order = rng.permutation(len(rows))
-    held, learn = order[: len(order) // 5], order[len(order) // 5 :]
+    out = np.isin(own, rng.permutation(len(number))[: max(1, len(number) // 5)]) if len(number) > 10 else np.arange(len(rows)) % 5 == 0
+    held, learn = order[out[order]], order[~out[order]]
     net, moments, t = Network.fresh(rng), {}, 0
     for _ in range(EPOCHS):
         rng.shuffle(learn)

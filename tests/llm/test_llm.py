@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -379,13 +380,55 @@ def test_network_learns_and_recalls():
     assert (net.probability(make(key)) >= net.threshold).mean() > 0.95
     assert (net.probability(make(word)) >= net.threshold).mean() < 0.1
     assert secrets.fit([], []) is None
-    # the gradient of one weight, by finite differences
-    x, y = secrets._padded(make(key)[:3] + make(word)[:3]), np.array([1, 1, 1, 0, 0, 0])
+
+
+def test_network_against_plain_loops():
+    """Logits by loops over every window, gradients by finite differences, long candidates in slices."""
+    net = secrets.Network.fresh(np.random.default_rng(3))
+    rng = random.Random(4)
+    rows = [[rng.randrange(1, 130) for _ in range(n)] for n in (1, 5, 9, 40, 41, 700)]
+    want = []
+    for r in rows:
+        r = r + [0] * (secrets.WIDTH - 1)
+        windows = [np.concatenate([net.embed[c] for c in r[i : i + secrets.WIDTH]]) for i in range(len(r) - secrets.WIDTH + 1)]
+        want.append(float(np.maximum((np.array(windows) @ net.conv + net.bias).max(0), 0) @ net.out + net.out_bias))
+    assert np.allclose(net.logits(rows), want, atol=1e-4)
+    slices = secrets.SLICE
+    try:
+        secrets.SLICE = 50
+        assert np.allclose(net.logits(rows), want, atol=1e-4)
+    finally:
+        secrets.SLICE = slices
+    for name in ("embed", "conv", "bias", "out"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    x, y = secrets._padded([r for r in rows if len(r) < 50]), np.array([1, 0, 1, 0, 1])
     loss = lambda: float(np.logaddexp(0, -(2 * y - 1) * net.forward(x)[0]).mean())
-    before = loss()
-    for t in range(1, 6):
-        net.step(x, y, {}, t, 1e-3)
-    assert loss() <= before + 1e-6
+    grads, bias = net.gradients(x, y)
+    for name, g in grads.items():
+        w = getattr(net, name)
+        for at in [np.unravel_index(i, g.shape) for i in np.argsort(-np.abs(g).ravel())[:5]]:
+            old, e = w[at], 1e-5
+            w[at] = old + e
+            up = loss()
+            w[at] = old - e
+            assert g[at] == pytest.approx((up - loss()) / (2 * e), rel=1e-3, abs=1e-7)
+            w[at] = old
+    net.out_bias += 1e-5
+    up = loss()
+    net.out_bias -= 2e-5
+    assert bias == pytest.approx((up - loss()) / 2e-5, rel=1e-3)
+
+
+def test_many_candidates_and_a_long_one():
+    """Candidates beside as many rule findings, and a candidate of a million characters, take bounded time and space."""
+    net = secrets.fit([secrets.characters("ab12" * 9, 0, 36)] * 20, [secrets.characters("wordwordword", 0, 12)] * 20)
+    text = " ".join(f"password=abcdef{k} Zk3{k}vT8q{k}" for k in range(4000))
+    start = time.process_time()
+    spans = secrets.other_candidates(text, secrets.rule_spans(text))
+    assert time.process_time() - start < 2 and len(spans) == 4000
+    start = time.process_time()
+    assert len(secrets.scored(["x" + "aB3" * 400_000], net)) == 1
+    assert time.process_time() - start < 30
 
 
 # --- HTML ---
@@ -429,6 +472,35 @@ def test_other_layouts_and_broken_markup():
         model.text(bad)
 
 
+def test_pages_without_marks():
+    """Content is told by its look where no element, class or id names it."""
+    model = html.train()
+    for source, want in [
+        ("<html><body><div><p>Plain page ... a paragraph of text that goes on.</p></div></body></html>", "Plain page ... a paragraph of text that goes on."),
+        ('<div class="meta">By A</div><p>Text of a fragment.</p>', "Text of a fragment."),
+        ("Text in no block at all. It goes on.", "Text in no block at all. It goes on."),
+        ("<ul><li><a href=x>Home</a><li><a href=y>News</a></ul><h1>Title here</h1><p>First paragraph of the story. It goes on.</p><p>Second one, short.</p><p>&copy; 2020 Us. All rights reserved.</p>", "Title here\nFirst paragraph of the story. It goes on.\nSecond one, short."),
+        ("<article><p>Energy equals <math><mi>E</mi></math> always.<noscript> Quietly.</noscript></p></article>", "Energy equals E always. Quietly."),
+    ]:
+        assert model.text(source) == want
+    wrong = total = 0
+    for source in html.labelled_pages(300, 78)[2::3]:
+        page = html.parse(source)
+        p, _ = model.marginals(page)
+        for k, _ in page.runs:
+            if page.nodes[k].tag != "#text":
+                total += 1
+                wrong += (p[k] > 0.5) != bool(page.nodes[k].label)
+    assert wrong / total < 0.04
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a x='", "<b><i>", "<p><td><b>", "<li><div>", "<table><tr>", "<!--", "<", "&"])
+def test_parsing_takes_time_in_proportion(piece):
+    start = time.process_time()
+    html.parse(piece * 100_000 + "</p>" * 100_000)
+    assert time.process_time() - start < 30  # hours, if each tag looked at those before it
+
+
 # --- fingerprints ---
 
 
