@@ -3,15 +3,12 @@
 Frequent words of the corpus (pre-tokens, counted over every document) are compiled into a minimal
 acyclic automaton in which words share suffixes.  Each transition carries how many words its
 siblings before it lead to, so that a walk yields the word's rank among all words; ranks index the
-id outputs.  The automaton is a flat file that each executor writes once and every Python worker
-memory-maps.  Many words are walked at once, one byte of all of them per step.  A word that the
+id outputs.  The automaton is a flat file that every Python worker memory-maps.  Many words are walked at once, one byte of all of them per step.  A word that the
 automaton doesn't accept is merged by the exact BPE rules.
 """
 
 from __future__ import annotations
 
-import contextlib
-import glob
 import hashlib
 import heapq
 import json
@@ -313,21 +310,19 @@ _mapped: dict[str, Lexicon] = {}
 
 
 def mapped(blob: bytes, where: dict, name: str) -> Lexicon:
-    """The lexicon in this worker; the file is written once for each executor's temp folder."""
+    """The lexicon in this worker, mapped from a file that loses its name as soon as it is mapped.
+
+    No other session can meet, change or remove it, and nothing stays behind when the worker ends.
+    """
     if name not in _mapped:
-        path = os.path.join(tempfile.gettempdir(), f"quillgraph-lexicon-{name}")
-        if not os.path.exists(path) or os.path.getsize(path) != len(blob):
-            own = f"{path}.{os.getpid()}"
-            with open(own, "wb") as f:
+        handle, path = tempfile.mkstemp(prefix="quillgraph-lexicon-")
+        try:
+            with os.fdopen(handle, "wb") as f:
                 f.write(blob)
-            os.replace(own, path)
-        # the files of earlier lexicons go; who has one mapped keeps it
-        for other in glob.glob(os.path.join(glob.escape(tempfile.gettempdir()), "quillgraph-lexicon-*")):
-            if not other.startswith(path):
-                with contextlib.suppress(FileNotFoundError):
-                    os.remove(other)
-        _mapped.clear()
-        _mapped[name] = Lexicon(path, where)
+            _mapped.clear()
+            _mapped[name] = Lexicon(path, where)
+        finally:
+            os.remove(path)
     return _mapped[name]
 
 

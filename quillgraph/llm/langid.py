@@ -12,7 +12,7 @@ vectorised look-ups.  The language with the shortest code wins.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,11 @@ from quillgraph.llm.common import append_columns, crc_fold, map_batches, text_by
 ORDER = 3
 #: Labelled documents that each language's tree is counted from (about; chosen by a hash of the id).
 DOCS_PER_LANGUAGE = 4000
-#: Code lengths are divided by this many bits before they become a probability.
+#: Labelled documents a language (about) that are left out of the trees to calibrate scores and rates on, and
+#: bits a byte by which the least likely thousandth of them may be exceeded before a text counts as no language,
+#: documents that it takes to tell, and bits that any text has free, as the rate of a short one says little.
+CALIBRATION, MARGIN, LEAST, FREE = 400, 2.0, 100, 32.0
+#: Bits that code lengths are divided by before they become a probability, where nothing could be fitted.
 TEMPERATURE = 16.0
 #: The prediction for texts without a letter.
 UNDETERMINED = "und"
@@ -85,6 +89,9 @@ class Frozen:
     cost: list[np.ndarray]
     contexts: list[np.ndarray]
     escape: list[np.ndarray]
+    temperature: float = TEMPERATURE
+    #: Bits a byte beyond which a text is none of the language's.
+    rates: dict[str, float] = field(default_factory=dict)
 
     def bits(self, grams: np.ndarray) -> np.ndarray:
         """Code length of the last byte of each gram, for every language."""
@@ -162,27 +169,62 @@ def freeze(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]) -
     return Frozen(langs, grams, cost, contexts, escape)
 
 
-def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Frozen:
+def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, calibration: int = CALIBRATION) -> Frozen:
     """Count and freeze context trees from rows of ``docs`` that have a language and a text.
 
     Every language takes about ``per_language`` of its documents (all, if it has fewer), chosen by a
-    hash of doc_id; the model's size is bounded by that sample.
+    hash of doc_id; the model's size is bounded by that sample.  About ``calibration`` documents more, a tenth
+    of a small language, are left out of the trees: on them the temperature of the scores and each
+    language's rate are fitted.
     """
     rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
-    share = F.lit(0.0)
+    kept, low = F.lit(0.0), F.lit(0.0)
     for k in langs:
-        share = F.when(F.col("lang") == k, min(1.0, per_language / sizes[k])).otherwise(share)
+        out = min(0.1, calibration / sizes[k])
+        kept = F.when(F.col("lang") == k, min(1.0, out + per_language / sizes[k])).otherwise(kept)
+        low = F.when(F.col("lang") == k, out).otherwise(low)
     dice = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
     counts = {k: (np.empty(0, np.uint32), np.empty(0)) for k in langs}
     if langs:
-        found = gram_counts(rows.where(dice < share).select("lang", "text")).toArrow()
+        found = gram_counts(rows.where((dice >= low) & (dice < kept)).select("lang", "text")).toArrow()
         lang, gram, n = (np.array(found.column(c).to_pylist()) if c == "lang" else found.column(c).to_numpy() for c in ("lang", "gram", "n"))
         for k in langs:
             own = lang == k if len(lang) else np.zeros(0, bool)
             counts[k] = (gram[own].astype(np.uint32), n[own].astype(np.float64))
-    return freeze(langs, counts)
+    model = freeze(langs, counts)
+    if langs:
+        calibrate(model, rows.where(dice < low).select("lang", "text"))
+    return model
+
+
+def calibrate(model: Frozen, rows: DataFrame) -> None:
+    """Fit the temperature and the languages' rates on rows of (lang, text) that the trees don't know."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = text_bytes(b)
+        return pa.RecordBatch.from_arrays([b.column("lang"), pa.array([len(t) for t in texts], pa.int64()), pa.array(list(shared.value.text_bits(texts)), pa.list_(pa.float64()))], ["lang", "size", "bits"])
+
+    found = [r for r in map_batches(rows, kernel, "lang string, size bigint, bits array<double>").collect() if r["size"]]
+    if not found:
+        return
+    at = {k: i for i, k in enumerate(model.langs)}
+    bits, gold, size = np.array([r["bits"] for r in found]), np.array([at[r["lang"]] for r in found]), np.array([r["size"] for r in found])
+    for k, i in at.items():
+        rate = (bits[:, i] / size)[gold == i]
+        if len(rate) >= LEAST:
+            model.rates[k] = min(8.0, float(np.quantile(rate, 0.999) + MARGIN))
+    gap = bits - bits[np.arange(len(gold)), gold][:, None]  # a text's own language against the others
+
+    def loss(t: float) -> float:
+        x = -gap / t * np.log(2)
+        top = x.max(axis=1)
+        return float((top + np.log(np.exp(x - top[:, None]).sum(axis=1))).mean())
+
+    # never below one bit: code lengths are probabilities themselves
+    model.temperature = min((2.0 ** (k / 4) for k in range(0, 41)), key=loss)
 
 
 def judge(model: Frozen, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -191,9 +233,9 @@ def judge(model: Frozen, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.
         return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), 8.0)
     bits = model.text_bits(texts)
     best = np.argmin(bits, axis=1) if len(texts) else np.empty(0, int)
-    p = np.exp2((bits.min(axis=1, keepdims=True) - bits) / TEMPERATURE) if len(texts) else bits
+    p = np.exp2((bits.min(axis=1, keepdims=True) - bits) / model.temperature) if len(texts) else bits
     score = 1.0 / p.sum(axis=1) if len(texts) else np.empty(0)
-    letter = np.array([_LETTER.search(t.decode()) is not None for t in texts], bool)
+    letter = np.array([_LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts], bool)
     rate = bits.min(axis=1) / np.maximum([len(t) for t in texts], 1) if len(texts) else np.empty(0)
     return [model.langs[k] if ok else UNDETERMINED for k, ok in zip(best, letter, strict=True)], np.where(letter, score, 0.0), rate
 
@@ -218,18 +260,20 @@ def learning_rows(docs: DataFrame) -> DataFrame:
     return docs.where(crc_fold("doc_id", 4) != 2)
 
 
-def keep_identified(docs: DataFrame, max_rate: float = 8.0) -> DataFrame:
+def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in one of the learned languages; all columns stay.
 
-    Rejected are ``und`` (null texts, texts without a letter) and texts that no language codes in
-    fewer than ``max_rate`` bits a byte; at 8 they are no more likely in any learned language than
-    random bytes.
+    Rejected are ``und`` (null texts, texts without a letter) and texts whose code in the best language takes
+    more bits than ``FREE`` and that language's rate for each byte: ``MARGIN`` more than all but a thousandth of its
+    documents that calibration left out of the trees.  The rate is 8 bits, that of random bytes, at most, and
+    with fewer than ``LEAST`` of these documents.  An empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(learning_rows(docs)))
 
     def kernel(b: pa.RecordBatch) -> list[pa.Array]:
-        lang, _, rate = judge(shared.value, text_bytes(b))
-        return [pa.array([k != UNDETERMINED and r < max_rate for k, r in zip(lang, rate, strict=True)], pa.bool_())]
+        texts = text_bytes(b)
+        lang, _, rate = judge(shared.value, texts)
+        return [pa.array([k != UNDETERMINED and (r - shared.value.rates.get(k, 8.0)) * len(t) < FREE for t, k, r in zip(texts, lang, rate, strict=True)], pa.bool_())]
 
     out, (kept,) = append_columns(docs, kernel, [("kept", "boolean")])
     return out.where(F.col(kept)).drop(kept)

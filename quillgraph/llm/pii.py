@@ -2,9 +2,9 @@
 
 A number is found by its shape and *validated* (check digits of cards, octets of addresses, days of
 the calendar) before it is touched.  Its digits are then permuted by a keyed Feistel network whose
-domain is the format itself: so many digits, four octets, the days of 400 years.  The same value
-therefore gets the same pseudonym in every document, two values never get the same one, and the
-pseudonym of a card, address or date passes the validation that its original passed.  E-mail addresses, which have no fixed
+domain is the format itself: so many digits, four octets, the valid social security numbers, the days
+of 400 years.  The same value therefore gets the same pseudonym in every document, two values never get the
+same one, and a pseudonym passes the validation that its original passed.  E-mail addresses, which have no fixed
 domain, get a keyed name.
 
 The text is split at the matches, and matches and gaps are joined again in one expression.
@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 #: Rounds of the network.
 ROUNDS = 8
-#: Key of the registered query; a production run passes its own.
-DEFAULT_KEY = "quillgraph-pseudonyms"
+#: Key of the registered query alone; every other run must bring its own.
+QUERY_KEY = "quillgraph-pseudonyms"
 
 # Shapes of personal data.
 _LOCAL = r"[\p{L}\p{N}._%+\-]"
 SHAPES = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}++@(?:[A-Za-z0-9\-]+\.){{1,8}}[A-Za-z]{{2,24}}",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++@(?:[A-Za-z0-9\-]+\.){{1,127}}[A-Za-z]{{2,24}}",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d\-/])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d\-/]\d|\d)",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
@@ -33,8 +33,12 @@ SHAPES = {
 KINDS = tuple(SHAPES)
 ANY = "|".join(f"(?:{SHAPES[k]})" for k in KINDS)
 
-#: Days of a full Gregorian cycle and how the network halves them: DAYS = HIGH * LOW.
-FIRST_DAY, DAYS, HIGH, LOW = "1800-01-01", 146_097, 5411, 27
+#: Days of a full Gregorian cycle and how the network halves them: DAYS = HIGH * LOW.  Each date stays within
+#: its cycle of 400 years; dates outside the whole cycles between these years are left alone.
+FIRST_DAY, DAYS, HIGH, LOW = "0200-01-01", 146_097, 5411, 27
+LAST_CYCLE = 23  # the one that ends with the year 9799
+#: Valid social security numbers: areas 001-665 and 667-899, groups 01-99 and serials 0001-9999.
+AREAS, SERIALS = 898, 9999
 
 
 def _let(value: Column, body) -> Column:
@@ -94,7 +98,7 @@ def _day(m: Column) -> Column:
     iso = lambda y, mo, d: F.concat_ws("-", F.substring(m, y, 4), F.substring(m, mo, 2), F.substring(m, d, 2)).try_cast("date")
     found = F.when(m.contains("/"), F.coalesce(iso(7, 1, 4), iso(7, 4, 1))).otherwise(m.try_cast("date"))
     at = F.datediff(found, F.lit(FIRST_DAY).cast("date"))
-    return F.when((at >= 0) & (at < DAYS), found)
+    return F.when((at >= 0) & (at < DAYS * (LAST_CYCLE + 1)), found)
 
 
 def kind_of(m: Column) -> Column:
@@ -118,7 +122,8 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
 
     ip = _let(_octets(m), lambda o: _let(_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), tweak), lambda p: F.concat_ws(".", F.floor(p["l"] / 256), p["l"] % 256, F.floor(p["r"] / 256), p["r"] % 256)))
     at = F.datediff(_day(m), F.lit(FIRST_DAY).cast("date"))
-    day = _let(_feistel(F.floor(at / LOW), at % LOW, F.lit(HIGH), F.lit(LOW), tweak), lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * LOW + p["r"]).cast("int")))
+    cycle, inside = F.floor(at / DAYS), at % DAYS
+    day = _let(_feistel(F.floor(inside / LOW), inside % LOW, F.lit(HIGH), F.lit(LOW), F.concat_ws("|", tweak, cycle)), lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (cycle * DAYS + p["l"] * LOW + p["r"]).cast("int")))
     # a month above twelve in first place tells that the match had its day first
     slashed = F.when(F.substring(m, 1, 2).cast("int") > 12, F.lit("dd/MM/yyyy")).otherwise(F.lit("MM/dd/yyyy"))
     date = _let(day, lambda d: F.when(m.contains("/"), F.when(slashed == "dd/MM/yyyy", F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))).otherwise(F.date_format(d, "yyyy-MM-dd")))
@@ -126,17 +131,24 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     code = F.regexp_extract(m, r"^\+\d{1,3}", 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     phone = F.concat(code, _filled(rest, permute_digits(only_digits(rest), tweak)))
-    ssn = _filled(m, permute_digits(only_digits(m), tweak))
+    part = lambda i, n: F.substring(m, i, n).cast("int")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+    serial = (part(5, 2) - 1) * SERIALS + part(8, 4) - 1
+    ssn = _let(_feistel(area, serial, F.lit(AREAS), F.lit(99 * SERIALS), tweak), lambda p: F.concat_ws("-", F.lpad((p["l"] + F.when(p["l"] >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((F.floor(p["r"] / SERIALS) + 1).cast("string"), 2, "0"), F.lpad((p["r"] % SERIALS + 1).cast("string"), 4, "0")))
     email = F.concat(F.lit("p"), F.substring(F.sha2(F.concat_ws("|", tweak, F.lower(m)).cast("binary"), 256), 1, 20), F.lit("@pseudonym.invalid"))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "date", date).when(kind == "card", _let(only_digits(m), card)).when(kind == "ssn", ssn).when(kind == "phone", phone).otherwise(m)
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id") -> DataFrame:
-    """Per row: the id, text with pseudonyms, found (kind, start as written, put) and counts by kind.
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id") -> DataFrame:
+    """Per row: the id, text with pseudonyms, found (was, kind, put) and counts by kind.
+
+    Whoever has the key can link and undo pseudonyms: it must be secret, and an empty one is refused.
 
     A null text stays null with nothing found; empty texts stay empty.  What fails its validation stays
     as it is.  Repeated rows stay; an empty table gives an empty result; other columns are not read.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     rows = docs.select(id_col, F.col("text").cast("string").alias("text"))
     seen = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     known = rows.withColumn("seen", F.coalesce(seen, F.array().cast("array<string>")))
@@ -150,5 +162,5 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id"
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    found = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY_KEY)
     return found.drop("found")

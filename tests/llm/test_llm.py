@@ -211,7 +211,7 @@ def test_bit_planes_count_distances():
 
 def test_code_lengths_match_a_plain_context_tree(spark, docs):
     learn = langid.learning_rows(docs)
-    model = langid.train(learn)
+    model = langid.train(learn, calibration=0)
     trees = {}
     for k, texts in learn.toPandas().groupby("lang").text:
         t = trees[k] = defaultdict(Counter)
@@ -249,6 +249,22 @@ def test_languages_on_held_out_documents(spark, pdf):
     assert found.score.between(0, 1).all()
 
 
+def test_texts_of_no_language_go(spark, docs, monkeypatch):
+    """Random letters and another script don't fit; documents of the languages stay; broken bytes are borne with."""
+    rng = random.Random(5)
+    junk = ["".join(rng.choices("qxzjkvwQXZJKVW0123456789+/", k=300)), "日本語のテキストだけ" * 20, "12345"]
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-k, t, None) for k, t in enumerate(junk, 1)], "doc_id long, text string, lang string"))
+    for least in (10, 100):
+        monkeypatch.setattr(langid, "LEAST", least)
+        kept = {r["doc_id"] for r in langid.keep_identified(rows).collect()}
+        assert not {-1, -2, -3} & kept and len(kept) >= (0.98 if least == 10 else 1) * docs.count()  # twelve documents tell little
+    monkeypatch.setattr(langid, "LEAST", 10)
+    model = langid.train(langid.learning_rows(docs))
+    assert set(model.rates.values()) and all(2 < r <= 8 for r in model.rates.values()) and model.temperature >= 1
+    lang, score, _ = langid.judge(model, [b"\xff\xfe abc", b""])
+    assert lang[1] == "und" and score[1] == 0 and 0 < score[0] <= 1
+
+
 @pytest.mark.parametrize("fan", [512, 3])
 def test_interpolation_matches_plain_counts(spark, docs, pdf, monkeypatch, fan):
     """With a small fan the blocks' requests meet level by level, three levels deep."""
@@ -567,7 +583,7 @@ def test_no_python_in_native_plans(spark):
 
 def test_pseudonyms(spark):
     rows = [(1, "call +1 (017) 555-7713 or a.b@mail7.example.com, ip 1.2.3.4 v 1.2.3.4.5 300.1.1.1 card 4111 1111 1111 1111 bad 4111111111111112"), (2, "on 2020-02-29, not 2021-02-29; 12/31/1999 1999-12-31"), (3, "4111111111111111")]
-    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k1").collect()}
     t = got[1]["text"]
     assert "555-7713" not in t and "@mail7" not in t and "v 1.2.3.4.5 300.1.1.1" in t and "4111111111111112" in t
     assert re.search(r"call \+1 \(\d{3}\) \d{3}-\d{4} or p[0-9a-f]{20}@pseudonym\.invalid, ip (\d+\.){3}\d+ v", t)
@@ -587,6 +603,56 @@ def test_digit_permutation_is_one_to_one(spark):
         assert df.distinct().count() == 10**n and df.where(F.length("p") != n).count() == 0
 
 
+def feistel(left, right, m_left, m_right, tweak):
+    """The network of the operator in plain Python."""
+    prf = lambda r, x: int(hashlib.sha256(f"{tweak}|{r}|{x}".encode()).hexdigest()[:13], 16)
+    for r in range(pii.ROUNDS):
+        if r % 2 == 0:
+            left = (left + prf(r, right)) % m_left
+        else:
+            right = (right + prf(r, left)) % m_right
+    return left, right
+
+
+def test_pseudonyms_by_brute_force(spark):
+    """Every kind of number against a network in plain Python; valid numbers give valid numbers, one to one."""
+    import datetime
+
+    rng = random.Random(3)
+    ssn = sorted({f"{rng.choice([*range(1, 666), *range(667, 900)]):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10000):04}" for _ in range(400)} | {"001-01-0001", "665-99-9999", "667-01-0001", "899-99-9999"})
+    ips = sorted({".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(200)})
+    days = sorted({(datetime.date(200, 1, 1) + datetime.timedelta(rng.randrange(146_097 * 24))).isoformat() for _ in range(300)} | {"1800-01-01", "2199-12-31", "0200-01-01", "9799-12-31"})
+    phones = sorted({f"{rng.randrange(200, 999)}-{rng.randrange(999):03}-{rng.randrange(9999):04}" for _ in range(200)})
+    rows = [(i, x) for i, x in enumerate([*ssn, *ips, *days, *phones])]
+    got = {x: r["text"] for (_, x), r in zip(rows, sorted(pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect(), key=lambda r: r["doc_id"]))}
+    assert len(set(got.values())) == len(rows)
+    for x in ssn:
+        a = int(x[:3])
+        left, right = feistel(a - (2 if a > 666 else 1), (int(x[4:6]) - 1) * 9999 + int(x[7:]) - 1, 898, 99 * 9999, "key|ssn")
+        assert got[x] == f"{left + (2 if left >= 665 else 1):03}-{right // 9999 + 1:02}-{right % 9999 + 1:04}"
+        assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", got[x])
+    for x in ips:
+        o = [int(k) for k in x.split(".")]
+        left, right = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "key|ip")
+        assert got[x] == f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    for x in days:
+        cycle, at = divmod((datetime.date.fromisoformat(x) - datetime.date(200, 1, 1)).days, 146_097)
+        left, right = feistel(at // 27, at % 27, 5411, 27, f"key|date|{cycle}")
+        assert got[x] == (datetime.date(200, 1, 1) + datetime.timedelta(cycle * 146_097 + left * 27 + right)).isoformat()
+    for x in phones:
+        left, right = feistel(int(x.replace("-", "")[:5]), int(x.replace("-", "")[5:]), 10**5, 10**5, "key|phone|10")
+        digits = f"{left:05}{right:05}"
+        assert got[x] == f"{digits[:3]}-{digits[3:6]}-{digits[6:]}"
+    with pytest.raises(ValueError):
+        pii.pseudonymise(spark.createDataFrame(rows[:1], "doc_id long, text string"), "")
+
+
+def test_long_domains(spark):
+    """A name with many labels goes as a whole."""
+    text = "write to a.b@" + "x." * 40 + "example.com now"
+    assert re.fullmatch(r"write to p[0-9a-f]{20}@pseudonym\.invalid now", pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()["text"])
+
+
 # --- toxicity ---
 
 
