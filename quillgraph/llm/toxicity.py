@@ -5,8 +5,9 @@ bounded sample of labelled documents sets apart, and patterns of style.  Each vo
 abstains.  A *generative label model* of votes given the hidden class is estimated by expectation
 maximisation from how often each combination of votes occurs among all documents: every voter has
 its own accuracy, and its vote may also depend on one other voter (the maximum spanning tree of the
-conditional mutual information), which models correlated voters.  A *linear classifier* on lexicon
-counts is then trained on the posterior labels of the sample and scores every document.
+conditional mutual information), which models correlated voters.  A given label is one more voter, of an
+accuracy that is assumed.  A *linear classifier* on lexicon counts is then trained on the posterior labels of
+the sample, of which some documents have a given label and some have none, and scores every document.
 """
 
 from __future__ import annotations
@@ -22,18 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import crc_fold, map_batches, text_bytes
-from quillgraph.plans.staging import cut
+from quillgraph.plans.staging import cut, drop
 
-#: Labelled documents (about; chosen by a hash of the id) that lexicons and the classifier learn from.
-SAMPLE = 20_000
+#: Labelled documents (about; chosen by a hash of the id) that lexicons and the classifier learn from, and
+#: documents without a label that the classifier learns from by their posterior label alone.
+SAMPLE, UNLABELLED = 20_000, 10_000
 #: Terms that a learned lexicon holds at most, toxic documents that a term needs, least odds ratio.
 LEXICON, SUPPORT, ODDS = 300, 4, 4.0
-#: Rounds of expectation maximisation; odds that a given label is right; weight decay.
+#: Rounds of expectation maximisation; share of given labels that are right; weight decay.
 ROUNDS, TRUST, DECAY = 30, 0.98, 1e-3
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.3
 
-# Insults.
+# A short list of insults of this package's own choosing; lexicons learned from labels stand beside it.
 INSULTS = frozenset("bastard bitch clown coward creep cretin crap damn disgusting dumb dumbass fool freak garbage hate idiot idiotic imbecile jerk kill loser lunatic maggot moron nasty parasite pathetic pig rat ridiculous rubbish scum shit shut slut stupid sucker trash ugly useless vermin vile whore worm worthless wretch".split())
 #: Lexicons: whole words, and their first so many characters.
 HEADS = (4, 5, 6, 7)
@@ -59,6 +61,8 @@ class Features:
     """Learned lexicons: (lexicon, term) -> number of the feature."""
 
     number: dict[tuple[str, str], int] = field(default_factory=dict)
+    #: Features of the stronger half of each learned lexicon.
+    strong: frozenset[int] = frozenset()
     memo: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
@@ -67,7 +71,7 @@ class Features:
         self.names = list(self.number)
 
     def __getstate__(self):
-        return {"number": self.number, "memo": {}, "names": self.names}
+        return {"number": self.number, "strong": self.strong, "memo": {}, "names": self.names}
 
     def match(self, word: str) -> tuple[int, ...]:
         found = self.memo.get(word)
@@ -91,43 +95,57 @@ class Features:
         hits = dict.fromkeys(LEXICONS, 0)
         for k, n in counts.items():
             hits[self.names[k][0]] += n
-        return counts, hits, {"words": len(words), "shout": len(_SHOUT.findall(raw.decode("utf-8", "replace"))) if b"!!" in raw else 0}
+        strong = frozenset(self.names[k][0] for k in counts if k in self.strong)
+        return counts, hits, {"words": len(words), "strong": strong, "shout": len(_SHOUT.findall(raw.decode("utf-8", "replace"))) if b"!!" in raw else 0}
 
 
-def votes(raw: bytes, hits: dict[str, int], style: dict[str, float]) -> str:
-    """One character for each voter."""
-    out, n = [], max(style["words"], 1)
+def votes(raw: bytes, hits: dict[str, int], style: dict) -> str:
+    """One character for each voter.
+
+    The voters of a learned lexicon have five joint votes, those of the insults three, and the patterns 72 at
+    most, so that there are fewer than 700,000 combinations whatever the documents are.
+    """
+    out, n, any_hit = [], max(style["words"], 1), any(hits.values())
     for k in LEXICONS:
         h = hits[k]
         out.append(TOXIC if h else ABSTAIN)  # any hit
         out.append(TOXIC if h >= 3 else CLEAN if not h else ABSTAIN)  # several hits, or none
+        if k != "insult":
+            out.append(TOXIC if k in style["strong"] else ABSTAIN)  # a hit among the stronger terms
     rate = max(hits.values()) / n
     out.append(TOXIC if rate >= 0.02 else CLEAN if rate < 0.002 and n >= 30 else ABSTAIN)
-    out.append(TOXIC if hits["insult"] and _YOU.search(raw.decode("utf-8", "replace")) else ABSTAIN)
-    out.append(TOXIC if style["shout"] >= 3 and sum(hits.values()) else CLEAN if not style["shout"] and not sum(hits.values()) else ABSTAIN)
+    you = any_hit and _YOU.search(raw.decode("utf-8", "replace")) is not None
+    out.append(TOXIC if you and hits["insult"] else ABSTAIN)
+    out.append(TOXIC if you and style["strong"] else ABSTAIN)
+    out.append(TOXIC if style["shout"] >= 3 and any_hit else CLEAN if not style["shout"] and not any_hit else ABSTAIN)
+    out.append(TOXIC if len(style["strong"]) >= 3 else ABSTAIN)  # lexicons agree
     return "".join(map(str, out))
 
 
 class LabelModel:
-    """P(votes, class) with a tree of dependencies among voters, by expectation maximisation."""
+    """P(votes, class) with a tree of dependencies among voters, by expectation maximisation.
+
+    A given label is a voter of the accuracy ``TRUST`` that depends on no other.
+    """
 
     def __init__(self, patterns: list[str], counts: np.ndarray, labelled: np.ndarray):
         """counts: documents with each pattern; labelled: (clean, toxic) labelled documents with it."""
         self.at = {p: i for i, p in enumerate(patterns)}
         v = np.array([[int(c) for c in p] for p in patterns])
         n, m = v.shape
+        one = np.eye(3)[v].reshape(n, 3 * m)  # patterns, (voter, vote)
+        free = np.maximum(counts - labelled.sum(1), 0)
+        total = free + labelled.sum(1)
         q = (labelled[:, 1] + 0.1) / (labelled.sum(1) + 1.0)  # toxic share, few labels pulled to 0.1
-        one = np.eye(3)[v]  # patterns, voters, votes
+        self.logit = np.log(q / (1 - q))
         for _ in range(ROUNDS):
-            # unlabelled documents count by their posterior, labelled ones by their label
-            free = np.maximum(counts - labelled.sum(1), 0)
-            w = np.stack([free * (1 - q) + labelled[:, 0], free * q + labelled[:, 1]])
+            toxic = free * self.posterior() + labelled[:, 1] * self.posterior(1) + labelled[:, 0] * self.posterior(0)
+            w = np.stack([total - toxic, toxic])
             self.prior = (w.sum(1) + 1) / (w.sum() + 2)
-            single = np.einsum("kn,nja->kja", w, one) + 0.5
-            pair = np.einsum("kn,nja,nib->kjaib", w, one, one) + 0.1
+            single = (w @ one).reshape(2, m, 3) + 0.5
+            pair = np.stack([(one * x[:, None]).T @ one for x in w]).reshape(2, m, 3, m, 3) + 0.1
             self.parent = self._tree(pair)
             logp = np.log(self.prior)[:, None] + np.zeros((2, n))
-            self.tables = []
             for j in range(m):
                 i = self.parent[j]
                 if i < 0:
@@ -136,10 +154,27 @@ class LabelModel:
                 else:
                     t = np.log(pair[:, i, :, j, :] / pair[:, i, :, j, :].sum(2, keepdims=True))
                     logp += t[:, v[:, i], v[:, j]]
-                self.tables.append(t)
-            q = 1 / (1 + np.exp(np.clip(logp[0] - logp[1], -40, 40)))
+            self.logit = logp[1] - logp[0]
+        one = one.reshape(n, m, 3)
+        self._calibrate(labelled)
         self.accuracy = [float(w[1] @ one[:, j, TOXIC] / max((w @ one[:, j, TOXIC]).sum(), 1e-9)) for j in range(m)]
-        self.posterior = q
+
+    def _calibrate(self, labelled: np.ndarray) -> None:
+        """Scale the logits to the given labels: voters that depend on more than one other overstate them."""
+        if labelled.sum(0).min() < 10:
+            return
+        x, w = np.stack([np.clip(self.logit, -40, 40), np.ones(len(self.logit))], 1), np.array([1.0, 0.0])
+        n, y = labelled.sum(1), labelled[:, 1]
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (n * p - y) + (w - [1, 0]))
+            w = w - step / max(1.0, float(np.abs(step).max()))
+        self.logit = x @ w
+
+    def posterior(self, given: int | None = None) -> np.ndarray:
+        """P(toxic) of each pattern, beside a given label if there is one."""
+        lift = {None: 0.0, 1: 1.0, 0: -1.0}[given] * math.log(TRUST / (1 - TRUST))
+        return 1 / (1 + np.exp(-np.clip(self.logit + lift, -40, 40)))
 
     @staticmethod
     def _tree(pair: np.ndarray) -> list[int]:
@@ -162,8 +197,8 @@ class LabelModel:
         # parents stand before their children only by reference; tables hold any order
         return parent
 
-    def of(self, pattern: str) -> float:
-        return float(self.posterior[self.at[pattern]])
+    def of(self, pattern: str, given: int | None = None) -> float:
+        return float(self.posterior(given)[self.at[pattern]])
 
 
 def dense(hits: dict[str, int], style: dict[str, float]) -> list[float]:
@@ -230,11 +265,14 @@ def learn_lexicons(sample: DataFrame, positive: int, negative: int) -> Features:
         for r in strong.where(F.col("lexicon") == k).orderBy(F.desc("worth"), "term").limit(LEXICON).collect():
             features.number.setdefault((k, r["term"]), len(features.number))
     features.names = list(features.number)
+    for k in LEXICONS[1:]:
+        own = [i for (name, _), i in features.number.items() if name == k]
+        features.strong |= frozenset(own[: -(-len(own) // 2)])
     return features
 
 
 def pattern_counts(docs: DataFrame, features: Features) -> dict[str, int]:
-    """How many documents have each combination of votes (voters are fixed, so there are few)."""
+    """How many documents have each combination of votes (see ``votes`` for how many there can be)."""
     shared = docs.sparkSession.sparkContext.broadcast(features)
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -249,8 +287,9 @@ def pattern_counts(docs: DataFrame, features: Features) -> dict[str, int]:
 def train(docs: DataFrame, labels: DataFrame, learning) -> Classifier:
     """The classifier; ``learning`` is a condition on doc_id for the labels that may be used.
 
-    Labels other than 0 and 1 are left out, and a document with both counts as toxic.  Without a toxic
-    and a clean label the fixed list alone decides.
+    Labels other than 0 and 1 are left out, and a document with both counts as toxic.  Documents without a
+    label that the sample takes stand under ``learning`` too.  Without a toxic and a clean label the fixed list
+    alone decides.
     """
     spark = docs.sparkSession
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(learning).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -258,9 +297,13 @@ def train(docs: DataFrame, labels: DataFrame, learning) -> Classifier:
     dice = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
     picked = own.where(dice < min(1.0, SAMPLE / max(n, 1)))
     # at most about SAMPLE ids: small enough to send to every task
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    known = rows.join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    other = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("unlabelled")), F.lit(1 << 20)) / float(1 << 20)
+    unknown = rows.where(learning).where(other < min(1.0, UNLABELLED / max(docs.count(), 1))).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_anti").select("text", F.lit(None).cast("int").alias("toxic"))
+    sample = cut(known.unionByName(unknown), "toxicity-sample")
     by = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    features = learn_lexicons(sample, by.get(1, 0), by.get(0, 0)) if by.get(1) and by.get(0) else Features()
+    features = learn_lexicons(sample.where("toxic IS NOT NULL"), by.get(1, 0), by.get(0, 0)) if by.get(1) and by.get(0) else Features()
     shared = spark.sparkContext.broadcast(features)
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -279,14 +322,13 @@ def train(docs: DataFrame, labels: DataFrame, learning) -> Classifier:
     patterns = pattern_counts(docs, features)
     labelled = {p: [0, 0] for p in patterns}
     for r in rows:
-        labelled.setdefault(r["votes"], [0, 0])[r["toxic"]] += 1
+        if r["toxic"] is not None:
+            labelled.setdefault(r["votes"], [0, 0])[r["toxic"]] += 1
     names = sorted(labelled)
     model = LabelModel(names, np.array([patterns.get(p, 0) for p in names], float), np.array([labelled[p] for p in names], float))
-    soft = []
-    for r in rows:
-        p = min(max(model.of(r["votes"]), 1e-6), 1 - 1e-6)
-        odds = p / (1 - p) * ((TRUST / (1 - TRUST)) if r["toxic"] else (1 - TRUST) / TRUST)
-        soft.append((dict(zip(r["k"], r["n"], strict=True)), r["dense"], odds / (1 + odds)))
+    posterior = {given: model.posterior(given) for given in (None, 0, 1)}
+    soft = [(dict(zip(r["k"], r["n"], strict=True)), r["dense"], float(posterior[r["toxic"]][model.at[r["votes"]]])) for r in rows if r["toxic"] is not None or r["votes"] in model.at]
+    drop(sample)
     return Classifier(features, *fit_linear(soft, len(features.number)))
 
 
