@@ -184,6 +184,10 @@ class Matrix:
         """Whether more than ``share`` of the cells are zero."""
         return self.cells.where("v <> 0").count() < (1 - share) * self.rows * self.cols
 
+    def is_adjacency(self) -> bool:
+        """Whether it is square and holds nothing but 0 and 1."""
+        return self.is_square() and self.cells.where("v NOT IN (0, 1)").isEmpty()
+
     # --- graphs ---
 
     def degrees(self) -> Matrix:

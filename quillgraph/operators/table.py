@@ -18,6 +18,12 @@ from pyspark.sql.window import Window
 
 from quillgraph.functions.predicate import parse
 from quillgraph.plans.ordering import running, shifted, trailing, with_position
+from quillgraph.plans.staging import cut
+
+#: Distinct pairs of values that Kendall's tau takes: it compares all of them.
+KENDALL_PAIRS = 20_000
+#: Rows that a table may have to become a pandas frame on the driver.
+DRIVER_ROWS = 1_000_000
 
 _AGGREGATES = {
     "sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "nunique": F.count_distinct,
@@ -194,6 +200,42 @@ class Table:
         theirs = [F.col(f"__r_{c}").alias(name(c, "right")) for c in other.columns if c not in on]
         return both.select(*keys, *(theirs + mine if right_first else mine + theirs))
 
+    def asof_join(self, other: Table, on: str, by: list[str] = (), direction: str = "backward", strict: bool = False) -> Table:
+        """Each row with the last row of ``other`` at or before it in ``on`` (forward: the first at or after).
+
+        Rows meet under equal ``by`` (nulls match); of several rows of ``other`` at one time the greatest by
+        its columns counts.  ``strict`` leaves equal times out.  Columns of ``other`` that this table has too
+        get ``_right``; no match gives nulls.  Both tables pass through one sort a group, without pairs;
+        without ``by`` all rows are one group.
+        """
+        theirs = [c for c in other.columns if c != on and c not in by]
+        mine = self.df.select(F.struct(*self.df.columns).alias("__l"), F.lit(None).cast(other.df.select(F.struct(on, *theirs).alias("r")).schema["r"].dataType).alias("__r"), F.col(on).alias("__t"), *[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)])
+        found = other.df.select(F.lit(None).cast(mine.schema["__l"].dataType).alias("__l"), F.struct(on, *theirs).alias("__r"), F.col(on).alias("__t"), *[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)])
+        back = direction == "backward"
+        # at one time: the other table's rows stand first, or last if equal times are left out
+        side = F.when(F.col("__l").isNull(), 1 if strict else 0).otherwise(0 if strict else 1)
+        w = Window.partitionBy(*[f"__b{i}" for i in range(len(by))]).orderBy(F.asc("__t") if back else F.desc("__t"), side, F.asc("__r")).rowsBetween(Window.unboundedPreceding, 0)
+        both = mine.unionByName(found).where("__t IS NOT NULL OR __l IS NOT NULL").withColumn("__m", F.last("__r", True).over(w)).where("__l IS NOT NULL")
+        return self._with(both.select("__l.*", *[F.when(F.col("__t").isNotNull(), F.col(f"__m.{c}")).alias(c + "_right" if c in self.columns else c) for c in theirs]))
+
+    def to_pandas(self):
+        """The rows as a pandas frame, in order where there is one; more than ``DRIVER_ROWS`` are refused."""
+        if self.df.limit(DRIVER_ROWS + 1).count() > DRIVER_ROWS:
+            raise ValueError(f"the driver takes tables of up to {DRIVER_ROWS} rows")
+        return (self.df.orderBy(self.ord).drop(self.ord) if self.ord else self.df).toPandas()
+
+    def to_parquet(self, path: str) -> None:
+        self.df.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def from_parquet(cls, spark, path: str, ord: str | None = None) -> Table:
+        return cls(spark.read.parquet(path), ord)
+
+    def reverse(self) -> Table:
+        """Positions the other way round."""
+        last = self.df.agg(F.max(self._order())).first()[0] or 0
+        return self.with_column(self.ord, F.lit(last) - F.col(self.ord))
+
     def cross_join(self, other: Table) -> Table:
         right = other.df.select(*[F.col(c).alias(c + "_right" if c in self.columns else c) for c in other.columns])
         return Table(self.df.drop(self.ord or "").crossJoin(right))
@@ -276,9 +318,19 @@ class Table:
         if method == "pearson":
             return rows.agg(F.corr("a", "b").alias("corr"))
         if method == "spearman":
-            return rank_values(rank_values(rows, "a", "ra"), "b", "rb").agg(F.corr("ra", "rb").alias("corr"))
+            # ranks come from counts of values, and only distinct pairs meet them: no row is sorted or joined
+            cells = cut(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs")
+            ranked = cells
+            for c in ("a", "b"):
+                ranked = ranked.join(value_ranks(cells.groupBy(c).agg(F.sum("n").alias("__n")), c, f"r{c}"), c)
+            x, y, n = F.col("ra"), F.col("rb"), F.col("n")
+            sums = ranked.agg(F.sum(n).alias("t"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+            spread = lambda c: F.col("t") * F.col(c + c) - F.col(c) * F.col(c)
+            return sums.select(F.try_divide(F.col("t") * F.col("xy") - F.col("x") * F.col("y"), F.sqrt(spread("x")) * F.sqrt(spread("y"))).alias("corr"))
         # tau from the counts of distinct pairs: as many terms as distinct pairs squared
         cells = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        if cells.limit(KENDALL_PAIRS + 1).count() > KENDALL_PAIRS:
+            raise ValueError(f"Kendall's tau takes columns of up to {KENDALL_PAIRS} distinct pairs")
         other = cells.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"))
         pairs = cells.join(other, F.col("a") < F.col("a2")).select((F.signum(F.col("b2") - F.col("b")) * F.col("n") * F.col("n2")).alias("s"))
         total = rows.agg(F.count(F.lit(1)).cast("double").alias("t"))
@@ -425,12 +477,15 @@ class Table:
         return self._with(self.df.where(udf(F.struct(*self.columns))))
 
 
-def rank_values(df: DataFrame, name: str, out: str) -> DataFrame:
-    """Average ranks of ties from 1, from counts of the values (no global sort of the rows)."""
-    counts = df.groupBy(name).agg(F.count(F.lit(1)).alias("__n"))
+def value_ranks(counts: DataFrame, name: str, out: str) -> DataFrame:
+    """Average ranks of ties from 1, from how often (``__n``) each value occurs."""
     placed = running(with_position(counts, [F.asc(name)], "__p"), "__p", {"__upto": ("sum", F.col("__n"))})
-    ranks = placed.select(name, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
-    return df.join(ranks, name)
+    return placed.select(name, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
+
+
+def rank_values(df: DataFrame, name: str, out: str) -> DataFrame:
+    """Rows with the average rank of their value, from 1 (no global sort of the rows)."""
+    return df.join(value_ranks(df.groupBy(name).agg(F.count(F.lit(1)).alias("__n")), name, out), name)
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.queries import graphs, tables
+from quillgraph.queries import graphs, more, tables
 
-QUERIES = {**tables.QUERIES, **graphs.QUERIES}
-ORACLE_SQL = {**tables.ORACLE_SQL, **graphs.ORACLE_SQL}
+QUERIES = {**tables.QUERIES, **graphs.QUERIES, **more.QUERIES}
+ORACLE_SQL = {**tables.ORACLE_SQL, **graphs.ORACLE_SQL, **more.ORACLE_SQL}

@@ -171,13 +171,9 @@ def _(s, d):
 @query("asof_join", "SELECT a.event_id, b.event_id AS before_id FROM events a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts >= b.ts WHERE a.event_type = 'purchase'")
 def _(s, d):
     """The last click of a user at or before each purchase, in one sorted pass over both."""
-    from pyspark.sql.window import Window
-
-    e = read(s, d, "events").df
-    w = Window.partitionBy("user_id").orderBy("ts", "late").rowsBetween(Window.unboundedPreceding, 0)
-    click = F.when(F.col("event_type") == "click", F.struct("ts", "event_id"))
-    marked = e.where(F.col("event_type").isin("click", "purchase")).withColumn("late", (F.col("event_type") == "purchase").cast("int"))
-    return marked.withColumn("b", F.max(click).over(w)["event_id"]).where("late = 1").select("event_id", F.col("b").alias("before_id"))
+    e = read(s, d, "events").df.select("event_id", "user_id", "ts", "event_type")
+    clicks = Table(e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("before_id")))
+    return Table(e.where("event_type = 'purchase'")).asof_join(clicks, "ts", ["user_id"]).df.select("event_id", "before_id")
 
 
 # --- groups ---
