@@ -387,6 +387,24 @@ def test_rules_match_their_definition():
     assert secrets.redact("abcdef", [(1, 3, "hex"), (2, 4, "assign")]) == "a[SECRET]ef"
 
 
+def test_query_keeps_every_base_finding(spark):
+    """The digest columns by plain matching over whole texts; spans hold the base findings in order."""
+    pdf = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    found = QUERIES["op7_secret_scan"](spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
+    some = 0
+    for d, t in zip(pdf.doc_id, pdf.text):
+        base = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.IGNORECASE | re.ASCII) if len(m[2]) >= 6]
+        base += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        base += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        listed = [f"{k}:{s}:{e}" for s, _, e, k in sorted(base)]
+        r = found.loc[d]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, _, _, k in base) for x in ("assign", "access", "hex"))
+        assert [x for x in r.spans.split(",") if x and not x.startswith("cnn:")] == listed
+        some += bool(base)
+    assert some
+
+
 def test_network_learns_and_recalls():
     rng = random.Random(2)
     key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
@@ -529,10 +547,29 @@ def test_order_minhash(spark, docs, pdf):
     assert got.groupby(pdf.text).fingerprint.nunique().max() == 1
     long = got[pdf.text.str.len() > 400]
     assert long.near_edited.mean() > 0.3 and long.near_next.mean() < 0.05
+    # fingerprints and likeness by plain loops: equal tuples over the ranges that either text uses
+    tuples = lambda f: {f[i : i + 10] for i in range(0, len(f), 10)}
+    like = lambda a, b: len(tuples(a) & tuples(b)) / len({x[:2] for x in tuples(a) | tuples(b)})
+    own = [brute_signature(t) for t in pdf.text]
+    for i, t in enumerate(pdf.text):
+        if len(t) > 20_000:
+            continue
+        q, k = len(t) // 4, (i + 1) % len(pdf)
+        edited = brute_signature(t[: len(t) - q] + pdf.text[k][:q])
+        assert (got.fingerprint[i], got.edited_fingerprint[i]) == (own[i], edited)
+        assert got.near_edited[i] == pytest.approx(like(own[i], edited)) and got.near_next[i] == pytest.approx(like(own[i], own[k]))
 
 
-def brute_signature(text):
+def brute_words(text):
+    """Words, or in texts of few or very long ones three characters each, the last ones fewer."""
     w = text.split(" ")
+    if len(text) >= omh.LEAST_CHARS and (len(w) < omh.FEW_WORDS or len(text) > omh.LONG_WORD * len(w)):
+        return [text[i : i + omh.GRAM] for i in range(len(text))]
+    return w
+
+
+def brute_signature(text):
+    w = brute_words(text)
     kmers = [w[i : i + omh.K] for i in range(max(len(w) - omh.K, 0) + 1)]
     u64 = (1 << 64) - 1
 
@@ -647,6 +684,86 @@ def test_pseudonyms_by_brute_force(spark):
         pii.pseudonymise(spark.createDataFrame(rows[:1], "doc_id long, text string"), "")
 
 
+def test_whole_table_of_pseudonyms(spark, pdf):
+    """The registered query against the same rules in plain Python, over every whole text."""
+    import datetime
+
+    import regex
+
+    key, anything = pii.QUERY_KEY, regex.compile(pii.ANY)
+    kinds = {k: regex.compile(v) for k, v in pii.SHAPES.items()}
+
+    def digits(d, tweak):
+        a = len(d) // 2
+        left, right = feistel(int(d[:a] or 0), int(d[a:] or 0), 10**a, 10 ** (len(d) - a), f"{tweak}|{len(d)}")
+        return (f"{left:0{a}}" if a else "") + f"{right:0{len(d) - a}}"
+
+    def fill(shape, d):
+        it = iter(d)
+        return "".join(next(it) if c in "0123456789" else c for c in shape)
+
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+
+    def day(m):
+        for y, mo, d in [(m[:4], m[5:7], m[8:])] if "-" in m else [(m[6:], m[:2], m[3:5]), (m[6:], m[3:5], m[:2])]:
+            try:
+                found = datetime.date(int(y), int(mo), int(d))
+            except ValueError:
+                continue
+            return found if datetime.date(200, 1, 1) <= found <= datetime.date(9799, 12, 31) else None
+        return None
+
+    def put(m):
+        only = re.sub("[^0-9]", "", m)
+        if "@" in m:
+            return "email", f"p{hashlib.sha256(f'{key}|email|{m.lower()}'.encode()).hexdigest()[:20]}@pseudonym.invalid"
+        if kinds["ip"].fullmatch(m):
+            o = [int(x) for x in m.split(".")]
+            if max(o) > 255:
+                return None, m
+            left, right = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, f"{key}|ip")
+            return "ip", f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+        if kinds["date"].fullmatch(m):
+            found = day(m)
+            if found is None:
+                return None, m
+            cycle, at = divmod((found - datetime.date(200, 1, 1)).days, 146_097)
+            left, right = feistel(at // 27, at % 27, 5411, 27, f"{key}|date|{cycle}")
+            new = datetime.date(200, 1, 1) + datetime.timedelta(cycle * 146_097 + left * 27 + right)
+            if "-" in m:
+                return "date", new.isoformat()
+            return "date", (f"{new.day:02}/{new.month:02}" if int(m[:2]) > 12 else f"{new.month:02}/{new.day:02}") + f"/{new.year:04}"
+        if kinds["card"].fullmatch(m):
+            if luhn(only) % 10:
+                return None, m
+            body = digits(only[:-1], f"{key}|card")
+            return "card", fill(m, body + str(-luhn(body + "0") % 10))
+        if kinds["ssn"].fullmatch(m):
+            if re.match("000|666|9", m) or "-00-" in m or m.endswith("-0000"):
+                return None, m
+            a = int(m[:3])
+            left, right = feistel(a - (2 if a > 666 else 1), (int(m[4:6]) - 1) * 9999 + int(m[7:]) - 1, 898, 99 * 9999, f"{key}|ssn")
+            return "ssn", f"{left + (2 if left >= 665 else 1):03}-{right // 9999 + 1:02}-{right % 9999 + 1:04}"
+        code = re.match(r"\+\d{1,3}", m)
+        code = code[0] if code else ""
+        return "phone", code + fill(m[len(code) :], digits(re.sub("[^0-9]", "", m[len(code) :]), f"{key}|phone"))
+
+    got = QUERIES["op10_pii_pseudonyms"](spark, DATA).toPandas().set_index("doc_id")
+    seen = Counter()
+    for d, t in zip(pdf.doc_id, pdf.text):
+        own = Counter()
+
+        def swap(m):
+            kind, new = put(m[0])
+            own[kind] += 1  # noqa: B023
+            return new
+
+        assert got.text[d] == anything.sub(swap, t)
+        assert all(got[f"n_{k}"][d] == own[k] for k in pii.KINDS)
+        seen += own
+    assert len([k for k in pii.KINDS if seen[k]]) >= 3
+
+
 def test_long_domains(spark):
     """A name with many labels goes as a whole."""
     text = "write to a.b@" + "x." * 40 + "example.com now"
@@ -731,6 +848,14 @@ def test_pipeline_stages(spark, docs):
             assert not any(secrets.rule_spans(r["text"]) for r in after.collect())
         else:
             assert kept == ids
+        if name == "bpe_encoding":  # the last stage against the library, over what the stages before made
+            import public_tokenizers
+            from tokenizers import Tokenizer
+
+            theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+            texts = {r["doc_id"]: r["text"] for r in before.collect()}
+            for r in after.collect():
+                assert list(r["ids"]) == theirs.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         before = after
     assert corpus_pipeline.run(spark, DATA).count() == before.count()
 
