@@ -20,10 +20,11 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], round
         new = step(state, k)
         if until is not None or (k + 1) % every == 0:
             new = cut(new, label)
-            if until is not None and until(state, new):
-                return new
+            done = until is not None and until(state, new)
             if written is not None:
                 drop(written)
+            if done:
+                return new
             written = new
         state = new
     return state
