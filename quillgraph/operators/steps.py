@@ -370,6 +370,60 @@ def _(s, capacity, flow, target):
     s.edges = s.edges.withColumn(target, F.when(left > 0, left))
 
 
+@step("graph.neighbors")
+def _(s, target, direction="auto"):
+    """Ascending ids of each node's neighbours."""
+    _join(s, target, s.graph.adjacency_list(direction), "neighbors")
+
+
+@step("graph.subgraph", "", "mask", "")
+def _(s, mask):
+    """Goes on with the nodes whose mask isn't 0, and the edges among them."""
+    kept = cut(s.nodes.where(F.col(mask).cast("int") != 0), "steps")
+    s.graph = s.graph.induced(kept.select("node_id"))
+    s.nodes = kept
+    s.edges = s.edges.join(s.graph.edges.select("edge_id"), "edge_id", "left_semi")
+
+
+@step("graph.connected_components")
+def _(s, target):
+    _join(s, target, s.graph.components(), "component")
+
+
+@step("attr.groupby", "how", "source labels")
+def _(s, source, labels, how, target):
+    """An aggregate of a variable over all nodes of the same label."""
+    one = s.nodes.groupBy(F.col(labels).alias("__l")).agg(_REDUCE[how](source).alias("__v"))
+    s.nodes = s.nodes.drop(target).join(one, F.col(labels).eqNullSafe(F.col("__l")), "left").withColumnRenamed("__v", target).drop("__l")
+
+
+@step("core.k_shortest_paths", "from to k")
+def _(s, target, k, weight=None, **ends):
+    """How many of the k cheapest simple paths between two nodes each node lies on."""
+    paths = A.k_shortest_paths(s.graph, ends["from"], ends["to"], k, weight)
+    on = [(x,) for _, p in paths for x in p]
+    made = s.nodes.sparkSession.createDataFrame(on, "node_id long").groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    _join(s, target, made, "n", 0)
+
+
+@step("iter.until_converged", "watched body", "", "")
+def _(s, watched, body, tol=1e-6, rounds=1000, mode="sync"):
+    """The body until no value of a variable moves by more than ``tol`` in a round.
+
+    ``mode`` may be sync only: every step sees all of the step before it.
+    """
+    if mode != "sync":
+        raise ValueError("steps are synchronous")
+    for _ in range(rounds):
+        before = s.nodes.select("node_id", F.col(watched).alias("__w"))
+        for b in body:
+            STEPS[b["id"]].run(s, **b.get("params", {}))
+        s.nodes = cut(s.nodes, "steps")
+        moved = s.nodes.join(before, "node_id").agg(F.max(F.abs(F.col(watched) - F.col("__w")))).first()[0]
+        if moved is None or moved <= tol:
+            return
+
+
 @step("iter.loop", "rounds body", "", "")
 def _(s, rounds, body, every=3):
     for k in range(rounds):
@@ -392,7 +446,7 @@ def validate(pipeline: list[dict], known: set[str] | None = None) -> list[str]:
             continue
         bad += [f"step {i} ({b['id']}): {p} is missing" for p in spec.needs if p not in params]
         bad += [f"step {i} ({b['id']}): {params[p]!r} isn't set before" for p in spec.reads if p in params and params[p] not in known]
-        if b["id"] == "iter.loop":
+        if b["id"] in ("iter.loop", "iter.until_converged"):
             bad += validate(params.get("body", []), known)
             known |= {x["params"][w] for x in params.get("body", []) if x.get("id") in STEPS for w in STEPS[x["id"]].writes if w in x.get("params", {})}
         known |= {params[w] for w in spec.writes if w in params}

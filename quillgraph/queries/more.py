@@ -210,6 +210,19 @@ def _(s, d):
     return done.nodes.select("node_id", "x")
 
 
+@query("steps_groups", f"WITH RECURSIVE {_FLOW}, a AS (SELECT node_id, region FROM fn WHERE region <> 2), e AS (SELECT source, target FROM fe WHERE source IN (SELECT node_id FROM a) AND target IN (SELECT node_id FROM a)), b AS (SELECT DISTINCT x, y FROM (SELECT source AS x, target AS y FROM e UNION ALL SELECT target, source FROM e)), w AS (SELECT node_id, node_id AS c FROM a UNION SELECT y, c FROM w JOIN b ON x = node_id) SELECT node_id, coalesce((SELECT string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) FROM b WHERE x = a.node_id), '') AS near, (SELECT min(c) FROM w WHERE w.node_id = a.node_id) AS component, (SELECT CAST(sum(z.node_id) AS BIGINT) FROM a z WHERE z.region = a.region) AS total FROM a")
+def _(s, d):
+    done = _run(flow(s, d, False), _put("core.load_node_attr", "r", attr="region"), _put("core.compare", "keep", left="r", op="ne", right=2), ("graph.subgraph", {"mask": "keep"}), _put("graph.neighbors", "near"), _put("graph.connected_components", "component"), _put("core.map_nodes", "id", expr="r * 0"), _put("core.init_nodes_with_index", "place"), _put("attr.groupby", "total", source="node_id", labels="r", how="sum"))
+    return done.nodes.select("node_id", F.array_join(F.col("near").cast("array<string>"), ",").alias("near"), "component", "total")
+
+
+@query("steps_until_converged", "SELECT CAST(n_nationkey AS BIGINT) AS node_id, 2.0::DOUBLE AS x FROM nation")
+def _(s, d):
+    """x goes to 1 + x / 2 until it stands still."""
+    done = _run(flow(s, d), _put("core.init_nodes", "x", value=0.0), ("iter.until_converged", {"watched": "x", "tol": 0.01, "body": [{"id": "core.mul", "params": {"left": "x", "right": 0.5, "target": "x"}}, {"id": "core.add", "params": {"left": "x", "right": 1.0, "target": "x"}}]}))
+    return done.nodes.select("node_id", F.round("x", 1).alias("x"))
+
+
 # --- arrays ---
 
 
@@ -697,6 +710,19 @@ def _(s, d):
     return embedding.edge_stress(g, placed).select(r6("mean_length").alias("mean_length"), r6("deviation").alias("deviation"))
 
 
+@query("visible_window", "SELECT CAST(n_nationkey AS BIGINT) AS node_id FROM nation WHERE n_nationkey % 5 BETWEEN 1 AND 3 AND n_nationkey // 5 BETWEEN 0 AND 2")
+def _(s, d):
+    return embedding.visible(embedding.embed("grid", flow(s, d).nodes, 5), 1, 0, 3, 2).select("node_id")
+
+
+@query("nodes_and_edges_of_tables", f"WITH {_FLOW} SELECT source AS node_id, count(*) AS n FROM fe GROUP BY 1")
+def _(s, d):
+    g = flow(s, d)
+    e = io.to_edges(g.edges.select(F.col("source").alias("a"), F.col("target").alias("b")), "a", "b")
+    n = io.to_nodes(g.nodes.withColumnRenamed("node_id", "uid"), "uid")
+    return Graph(n, e, True).degree("out").where("degree > 0").select("node_id", F.col("degree").alias("n"))
+
+
 # --- files ---
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.operators.graph import Graph, assign_edge_ids, merge
+from quillgraph.operators.table import DRIVER_ROWS
 from quillgraph.plans.ordering import with_position
 
 
@@ -38,8 +39,14 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _fits(df: DataFrame) -> None:
+    if df.limit(DRIVER_ROWS + 1).count() > DRIVER_ROWS:
+        raise ValueError(f"the driver takes tables of up to {DRIVER_ROWS} rows")
+
+
 def json_document(df: DataFrame) -> str:
-    """One document of a table that fits the driver, as ``read_json_table`` takes it."""
+    """One document of a table of up to ``DRIVER_ROWS`` rows, as ``read_json_table`` takes it."""
+    _fits(df)
     rows = [json.loads(r) for r in df.toJSON().collect()]
     return json.dumps({"columns": df.columns, "nrows": len(rows), "data": rows})
 
@@ -54,6 +61,29 @@ def from_columns(spark: SparkSession, columns: Mapping[str, Sequence], order: Se
     return spark.createDataFrame(pd.DataFrame({n: columns[n] for n in names}))
 
 
+def from_pandas(spark: SparkSession, frame) -> DataFrame:
+    """A table of a pandas frame; an index with a name becomes a column."""
+    return spark.createDataFrame(frame.reset_index() if any(frame.index.names) else frame)
+
+
+def to_nodes(df: DataFrame, key: str) -> DataFrame:
+    """Node rows of a table: its key becomes ``node_id`` and must be there and unique."""
+    out = df.withColumnRenamed(key, "node_id")
+    bad = out.agg(F.count_if(F.col("node_id").isNull()).alias("null"), (F.count("node_id") - F.count_distinct("node_id")).alias("again")).first()
+    if bad["null"] or bad["again"]:
+        raise ValueError(f"{bad['null']} rows have no {key} and {bad['again']} repeat one")
+    return out
+
+
+def to_edges(df: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """Edge rows of a table: both ends must be there; ids are given where there are none."""
+    out = df.withColumnsRenamed({source: "source", target: "target"})
+    lost = out.where("source IS NULL OR target IS NULL").count()
+    if lost:
+        raise ValueError(f"{lost} rows lack an end")
+    return out if "edge_id" in out.columns else assign_edge_ids(out)
+
+
 def from_numpy(spark: SparkSession, a) -> DataFrame:
     """1-D: (ord, value); 2-D: cells (i, j, v)."""
     if a.ndim == 1:
@@ -134,9 +164,12 @@ def load_federated(spark: SparkSession, paths: Mapping[str, str]) -> Graph:
 
 
 def to_networkx(g: Graph):
-    """A networkx graph of a graph that fits the driver."""
+    """A networkx graph of a graph of up to ``DRIVER_ROWS`` nodes and as many edges."""
     import networkx
 
+    _fits(g.nodes)
+    _fits(g.edges)
+
     out = networkx.DiGraph() if g.directed else networkx.Graph()
     for r in g.nodes.collect():
         out.add_node(r["node_id"], **{k: v for k, v in r.asDict().items() if k != "node_id"})

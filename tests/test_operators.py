@@ -483,3 +483,58 @@ def test_tables_go_with_what_they_were_for(spark):
     assert sum(x.startswith("loop-test") for x in os.listdir(folder)) == 1
     staging.drop(kept, spark.range(1))
     assert not os.path.exists(path)
+
+
+def _blobs(spark):
+    """Three far groups of 20 points in five dimensions; key // 20 is the group."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(3, 5)) * 30
+    return spark.createDataFrame([(i, [float(x) for x in centres[i // 20] + rng.normal(size=5)]) for i in range(60)], "node_id long, vector array<double>")
+
+
+@pytest.mark.parametrize("method, options", [("tsne", {"perplexities": (10.0,)}), ("tsne", {"perplexities": (5.0, 15.0)}), ("umap", {"neighbours": 10}), ("pca", {})])
+def test_projections_keep_groups_together(spark, method, options):
+    """The nearest points after the projection are of the same group."""
+    from quillgraph.operators import embedding
+
+    points = _blobs(spark)
+    made = embedding.embed(method, points, "vector", 2, **options)
+    pos = {r["node_id"]: np.array(r["vector"]) for r in made.collect()}
+    for i in pos:
+        near = sorted((k for k in pos if k != i), key=lambda k: float(((pos[k] - pos[i]) ** 2).sum()))[:5]
+        assert all(k // 20 == i // 20 for k in near)
+    found = embedding.quality(points, made).first()
+    assert found["neighbours"] > 0.3 and 0 <= found["stress"] < 1
+
+
+def test_quality_of_the_same_points(spark):
+    from quillgraph.operators import embedding
+
+    points = _blobs(spark)
+    found = embedding.quality(points, points).first()
+    assert found["neighbours"] == 1 and found["stress"] == pytest.approx(0, abs=1e-6) and found["correlation"] == pytest.approx(1)
+    with pytest.raises(ValueError):
+        embedding.embed("none", points)
+
+
+def test_annealing_draws_edges_shorter(spark):
+    from quillgraph.operators import embedding
+
+    g = _two_groups(spark)
+    pos = {r["node_id"]: np.array(r["vector"]) for r in embedding.energy(g, rounds=3000).collect()}
+    joined = {tuple(sorted((r["source"], r["target"]))) for r in g.edges.collect()}
+    length = lambda p: float(np.linalg.norm(pos[p[0]] - pos[p[1]]))
+    every = [(a, b) for a in pos for b in pos if a < b]
+    assert np.mean([length(p) for p in joined]) < np.mean([length(p) for p in every if p not in joined])
+
+
+def test_tables_become_nodes_and_edges(spark):
+    t = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "id long, x string")
+    with pytest.raises(ValueError):
+        io.to_nodes(t, "id")
+    with pytest.raises(ValueError):
+        io.to_edges(t.withColumn("y", F.lit(1)), "id", "y")
+    assert io.to_nodes(t.limit(1), "id").columns == ["node_id", "x"]
+    import pandas as pd
+
+    assert io.from_pandas(spark, pd.DataFrame({"a": [1, 2]}, index=pd.Index([5, 6], name="k"))).columns == ["k", "a"]
