@@ -27,7 +27,7 @@ KERNEL_EDGES = 500_000
 def pagerank(g: Graph, damping: float = 0.85, rounds: int = 100, tol: float | None = 1e-6, personal: str | None = None, direction: str = "out", local_edges: int | None = None) -> DataFrame:
     """(node_id, rank).  Follows stored directions; rank of sinks is spread evenly.
 
-    Stops when no rank moves by more than ``tol`` (None: after all rounds).  ``personal`` names a node
+    Stops when no rank moves by more than ``tol``, or after all rounds (100, unless told; None: only then).  ``personal`` names a node
     attribute that the teleport is in proportion to (the largest, where an id is repeated).  Null node
     ids, and edges an end of which is null or no node, count nowhere.
     """
@@ -206,7 +206,8 @@ def _least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def label_propagation(g: Graph, rounds: int = 20, tol: float = 0.01, seed_attr: str | None = None, self_vote: bool = True, local_edges: int | None = None) -> DataFrame:
     """(node_id, label): synchronous majority of neighbours, ties to the least label.
 
-    Stops when at most ``tol`` of the nodes changed.  A node's own vote counts once, if asked for.  Null
+    Stops when at most ``tol`` of the nodes changed.  A node's own vote counts once, if asked for.  Without a seed
+    label a node starts with its id, which is the same label as an equal seed of another node.  Null
     node ids, and edges an end of which is null or no node, count nowhere.
     """
     first = F.coalesce(seed_attr, "node_id") if seed_attr else F.col("node_id")

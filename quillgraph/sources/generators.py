@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators.algorithms import barabasi_albert_edges
+from quillgraph.operators.algorithms import KERNEL_EDGES, barabasi_albert_edges
 from quillgraph.operators.graph import Graph
 
 
@@ -75,7 +75,9 @@ def watts_strogatz(spark: SparkSession, n: int, k: int, p: float, seed: int = 0)
 
 
 def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = 0) -> Graph:
-    """Preferential attachment, which is sequential: drawn on the driver."""
+    """Preferential attachment, which is sequential: drawn on the driver, up to ``KERNEL_EDGES`` edges."""
+    if n * m > KERNEL_EDGES:
+        raise ValueError(f"preferential attachment is drawn up to {KERNEL_EDGES} edges")
     return _graph(spark, n, spark.createDataFrame(barabasi_albert_edges(n, m, seed), "source long, target long"))
 
 
@@ -93,40 +95,28 @@ def communities(spark: SparkSession, sizes: list[int], inside: float, between: f
     return Graph(g.nodes.withColumn("community", group(F.col("node_id"))), g.edges)
 
 
-# The friendships of Zachary's karate club (1977), each line a member and those of higher number.
-KARATE = """
-0: 1 2 3 4 5 6 7 8 10 11 12 13 17 19 21 31
-1: 2 3 7 13 17 19 21 30
-2: 3 7 8 9 13 27 28 32
-3: 7 12 13
-4: 6 10
-5: 6 10 16
-6: 16
-8: 30 32 33
-9: 33
-13: 33
-14: 32 33
-15: 32 33
-18: 32 33
-19: 33
-20: 32 33
-22: 32 33
-23: 25 27 29 32 33
-24: 25 27 31
-25: 31
-26: 29 33
-27: 33
-28: 31 33
-29: 32 33
-30: 32 33
-31: 32 33
-32: 33
-"""
+def social_network(spark: SparkSession, n: int, groups: int = 3, inside: float = 0.3, between: float = 0.02, node_attrs: tuple[str, ...] = ("activity",), edge_attrs: tuple[str, ...] = ("strength",), seed: int = 0) -> Graph:
+    """Communities of nearly equal size; attributes of nodes and edges are shares in [0, 1) by a seeded hash."""
+    sizes = [n // groups + (k < n % groups) for k in range(groups)]
+    g = communities(spark, sizes, inside, between, seed)
+    share = lambda name, *ids: F.pmod(F.xxhash64(*ids, F.lit(name), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    return Graph(g.nodes.withColumns({a: share(a, "node_id") for a in node_attrs}), g.edges.withColumns({a: share(a, "source", "target") for a in edge_attrs}))
+
+
+# The 78 friendships of the karate club in W. W. Zachary, An Information Flow Model for Conflict and
+# Fission in Small Groups, Journal of Anthropological Research 33 (1977); members are counted from 0.
+KARATE = [
+    (0, 1), (0, 2), (0, 3), (0, 4), (0, 5), (0, 6), (0, 7), (0, 8), (0, 10), (0, 11), (0, 12), (0, 13), (0, 17),
+    (0, 19), (0, 21), (0, 31), (1, 2), (1, 3), (1, 7), (1, 13), (1, 17), (1, 19), (1, 21), (1, 30), (2, 3), (2, 7),
+    (2, 8), (2, 9), (2, 13), (2, 27), (2, 28), (2, 32), (3, 7), (3, 12), (3, 13), (4, 6), (4, 10), (5, 6), (5, 10),
+    (5, 16), (6, 16), (8, 30), (8, 32), (8, 33), (9, 33), (13, 33), (14, 32), (14, 33), (15, 32), (15, 33), (18, 32), (18, 33),
+    (19, 33), (20, 32), (20, 33), (22, 32), (22, 33), (23, 25), (23, 27), (23, 29), (23, 32), (23, 33), (24, 25), (24, 27), (24, 31),
+    (25, 31), (26, 29), (26, 33), (27, 33), (28, 31), (28, 33), (29, 32), (29, 33), (30, 32), (30, 33), (31, 32), (31, 33), (32, 33),
+]
 
 
 def karate_club(spark: SparkSession) -> Graph:
     """34 members and 78 friendships; the instructor and the president are members 0 and 33."""
-    pairs = [(int(a), int(b)) for line in KARATE.strip().splitlines() for a, rest in [line.split(":")] for b in rest.split()]
-    g = _graph(spark, 34, spark.createDataFrame(pairs, "source long, target long"))
+    g = _graph(spark, 34, spark.createDataFrame(KARATE, "source long, target long"))
     leads = F.col("node_id").isin(0, 33)
     return Graph(g.nodes.withColumns({"label": F.concat(F.lit("Member"), F.col("node_id")), "instructor": leads}), g.edges)

@@ -538,3 +538,12 @@ def test_tables_become_nodes_and_edges(spark):
     import pandas as pd
 
     assert io.from_pandas(spark, pd.DataFrame({"a": [1, 2]}, index=pd.Index([5, 6], name="k"))).columns == ["k", "a"]
+
+
+def test_social_network_and_limits(spark):
+    g = G.social_network(spark, 31, 3, 0.5, 0.05)
+    assert sorted(r["n"] for r in g.nodes.groupBy("community").agg(F.count("*").alias("n")).collect()) == [10, 10, 11]
+    assert g.nodes.where("activity >= 0 AND activity < 1").count() == 31 and "strength" in g.edges.columns
+    assert G.karate_club(spark).edges.count() == 78
+    with pytest.raises(ValueError):
+        G.barabasi_albert(spark, 10**6, 5)
