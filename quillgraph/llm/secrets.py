@@ -47,7 +47,7 @@ GENERATED, COMMON = 4_000, 3
 LEFT, RIGHT, RECALL = 24, 8, 0.98
 #: Characters of the longest finding that the network learns from (it scores findings of any length).
 LONGEST_LEARNED = 1000
-EMBED, WIDTH, FILTERS, EPOCHS = 12, 5, 24, 8
+EMBED, WIDTH, FILTERS, EPOCHS = 12, 5, 24, 16
 #: Characters of a candidate that are convolved at once; a longer one goes slice by slice.
 SLICE = 1 << 14
 REDACTED = "[SECRET]"
@@ -209,12 +209,13 @@ def fit(secrets: list[list[int]], others: list[list[int]], recall: float = RECAL
             t += 1
             part = learn[s : s + 64]
             net.step(_padded([rows[i] for i in part]), y[part], moments, t, 3e-3)
-    # Platt scaling with Newton steps on the held-out findings
+    # Platt scaling with bounded Newton steps on the held-out findings; the prior keeps it finite where they are apart
     z, w = net.logits([rows[i] for i in held]), np.array([1.0, 0.0])
     x = np.stack([z, np.ones(len(z))], 1)
-    for _ in range(25):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - y[held]) + 1e-3 * (w - [1, 0]))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (p - y[held]) + (w - [1, 0]))
+        w -= step / max(1.0, 2 * float(np.abs(step).max()))
     net.scale = (float(w[0]), float(w[1]))
     good = np.sort(net.probability([rows[i] for i, k in zip(held, y[held], strict=True) if k]))
     # one half, where the calibrated odds are even, or less if that recalls too little
