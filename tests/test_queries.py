@@ -104,3 +104,17 @@ def test_whole_graphs_against_brute_force(spark, tmp_path):
     assert run("betweenness_flows") == near(between)
     walks = {(r["walk"], r["step"]): r["node_id"] for r in QUERIES["random_walks"](spark, str(tmp_path)).collect()}
     assert all(x == w if not k else x == w or x in out[walks[w, k - 1]] for (w, k), x in walks.items())
+
+
+@pytest.mark.parametrize("name", ["commit_at_time", "commits_between"])
+def test_commits_within_one_second(spark, tmp_path, name):
+    """Five events a second: later ones of the same second don't count; without the event there is no commit."""
+    import duckdb
+
+    for ids, folder in ((range(400), "many"), (range(30), "few")):
+        d = tmp_path / folder
+        rows = spark.range(len(ids)).selectExpr("id AS event_id", "CAST(timestamp_micros(1704067200000000 + id * 200001) AS timestamp_ntz) AS ts", "id % 7 AS user_id", "'view' AS event_type", "CAST(id AS double) AS value")
+        rows.coalesce(1).write.parquet(f"{d}/events.parquet")
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
+        same_rows(QUERIES[name](spark, str(d)), c, ORACLE_SQL[name])
