@@ -17,11 +17,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillgraph.functions.predicate import parse
+from quillgraph.operators import local
 from quillgraph.plans.ordering import running, shifted, trailing, with_position
-from quillgraph.plans.staging import cut
+from quillgraph.plans.staging import cut, ship_package
 
-#: Distinct pairs of values that Kendall's tau takes: it compares all of them.
-KENDALL_PAIRS = 20_000
+#: Distinct pairs of values that one task of Kendall's tau orders; more of them are dealt over blocks.
+KENDALL_BLOCK = 1 << 18
 #: Rows that a table may have to become a pandas frame on the driver.
 DRIVER_ROWS = 1_000_000
 
@@ -31,6 +32,37 @@ _AGGREGATES = {
 }
 
 
+def concordance(cells: DataFrame) -> DataFrame:
+    """One row ``s``: sign(b2 - b) * n * n2 summed over all pairs of cells (a, b, n) with a < a2.
+
+    Values of a and of b are cut into blocks in their order.  Pairs within a block of a are counted there, by
+    sorting; other pairs within a block of b there, with blocks in place of a; and all the rest from the counts
+    of the blocks.  Blocks grow with the cells, so that no task gets more than about cells ** (2 / 3) rows.
+    """
+    ship_package(cells.sparkSession)
+    count = cells.count()
+    size = max(KENDALL_BLOCK, round(count ** (2 / 3)))
+    if count <= size:
+        parts = cells.select(F.lit("all").alias("of"), F.lit(0).cast("long").alias("part"), "a", "b", "n")
+    else:
+        placed = cells
+        for c, block in (("a", "i"), ("b", "j")):
+            placed = placed.join(_value_blocks(cells, c, size, block), c)
+        placed = cut(placed, "pairs")
+        # an odd block holds one frequent value, within which nothing differs
+        parts = placed.where("i % 2 = 0").select(F.lit("a").alias("of"), F.col("i").alias("part"), "a", "b", "n")
+        parts = parts.unionByName(placed.where("j % 2 = 0").groupBy("i", "j", "b").agg(F.sum("n").alias("n")).select(F.lit("b").alias("of"), F.col("j").alias("part"), F.col("i").cast("double").alias("a"), "b", "n"))
+        parts = parts.unionByName(placed.groupBy("i", "j").agg(F.sum("n").alias("n")).select(F.lit("blocks").alias("of"), F.lit(0).cast("long").alias("part"), F.col("i").cast("double").alias("a"), F.col("j").cast("double").alias("b"), "n"))
+    return parts.groupBy("of", "part").applyInArrow(local.concordance, "s string").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
+
+
+def _value_blocks(cells: DataFrame, c: str, size: int, name: str) -> DataFrame:
+    """(c, name): the block of each value, ascending; even ones have less than twice ``size`` cells, odd ones a single value."""
+    counts = with_position(cells.groupBy(c).agg(F.count(F.lit(1)).alias("__n")), [F.col(c)], "__ord")
+    upto = running(counts, "__ord", {"__upto": ("sum", F.col("__n"))})
+    return upto.select(c, (2 * F.floor((F.col("__upto") - F.col("__n")) / size) + (F.col("__n") > size).cast("long")).alias(name))
+
+
 def aggregate(name: str, c: Column | str) -> Column:
     """An aggregate by name; ``size`` counts rows, ``count`` counts values."""
     if name == "size":
@@ -327,14 +359,12 @@ class Table:
             sums = ranked.agg(F.sum(n).alias("t"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
             spread = lambda c: F.col("t") * F.col(c + c) - F.col(c) * F.col(c)
             return sums.select(F.try_divide(F.col("t") * F.col("xy") - F.col("x") * F.col("y"), F.sqrt(spread("x")) * F.sqrt(spread("y"))).alias("corr"))
-        # tau from the counts of distinct pairs: as many terms as distinct pairs squared
-        cells = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-        if cells.limit(KENDALL_PAIRS + 1).count() > KENDALL_PAIRS:
-            raise ValueError(f"Kendall's tau takes columns of up to {KENDALL_PAIRS} distinct pairs")
-        other = cells.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"))
-        pairs = cells.join(other, F.col("a") < F.col("a2")).select((F.signum(F.col("b2") - F.col("b")) * F.col("n") * F.col("n2")).alias("s"))
-        total = rows.agg(F.count(F.lit(1)).cast("double").alias("t"))
-        return pairs.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s")).crossJoin(F.broadcast(total)).select((F.col("s") / (F.col("t") * (F.col("t") - 1) / 2)).alias("corr"))
+        # tau from the counts of distinct pairs of values
+        cells = cut(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs")
+        total = cells.agg(F.sum("n").cast("double").alias("t"), (F.min("a") < F.max("a")).alias("differ"))
+        tau = F.try_divide(F.coalesce("s", F.lit(0)).cast("double"), F.col("t") * (F.col("t") - 1) / 2)
+        # a value that is no number is neither more nor less than others; without two values of a there is no pair
+        return concordance(cells.where(~F.isnan("b"))).crossJoin(F.broadcast(total)).select(F.when(F.col("differ"), tau).alias("corr"))
 
     def corr_matrix(self) -> DataFrame:
         """Pearson matrix over numeric columns with an ``index`` column."""

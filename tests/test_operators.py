@@ -547,3 +547,36 @@ def test_social_network_and_limits(spark):
     assert G.karate_club(spark).edges.count() == 78
     with pytest.raises(ValueError):
         G.barabasi_albert(spark, 10**6, 5)
+
+
+def test_kendall_over_many_pairs(spark, monkeypatch):
+    """More distinct pairs than were taken before; then blocks of a few values, with frequent values on both sides."""
+    import pandas as pd
+
+    from quillgraph.operators import table
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 50, 25_000)
+    b = rng.permutation(25_000) + 300 * a
+    want = sum(np.sign(b[a > x][:, None] - b[a == x][None, :]).sum() for x in range(50)) / (25_000 * 24_999 / 2)
+    df = spark.createDataFrame(pd.DataFrame({"a": a.astype(float), "b": b.astype(float)}))
+    assert Table(df).corr("a", "b", "kendall").first()[0] == pytest.approx(want)
+    monkeypatch.setattr(table, "KENDALL_BLOCK", 8)
+    for high in (7, 1000):
+        x, y = rng.integers(0, high, 900), rng.integers(0, 300, 900)
+        x[:200], y[150:400] = 3, 5
+        want = (np.sign(x[None, :] - x[:, None]) * np.sign(y[None, :] - y[:, None])).sum() / 2
+        df = spark.createDataFrame(pd.DataFrame({"a": x.astype(float), "b": y.astype(float)}))
+        assert Table(df).corr("a", "b", "kendall").first()[0] == pytest.approx(want / (900 * 899 / 2), abs=1e-12)
+    one = spark.sql("SELECT 1.0D AS a, double(id) AS b FROM range(1)")
+    assert Table(one).corr("a", "b", "kendall").first()[0] is None
+
+
+def test_concordance_beyond_64_bits():
+    import pyarrow as pa
+
+    from quillgraph.operators.local import concordance
+
+    big = 1 << 40
+    cells = pa.table({"a": [0.0, 1.0, 1.0, 2.0], "b": [1.0, 0.0, 2.0, 2.0], "n": [big, big, 1, big]})
+    assert int(concordance(cells)["s"][0].as_py()) == -big * big + big + big * big + big * big
